@@ -12,17 +12,22 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialwright.functions.hashing import hash52
+from trialwright.operators import kernels
 from trialwright.operators.kernels import (
     DENSE_CELLS, GRADIENT_UNIT, MISSING_BIN, Fit, Tree, bin_rows, histogram_rows, margin_rows, open_cells,
     predict_rows, score_rows)
 from trialwright.session import materialize
 
+# Tasks receive the helpers with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(kernels)
+
 # Trainer defaults of the searched parameters (fixed values).
 DEFAULTS = {"max_depth": 3, "min_child_weight": 1.0, "alpha": 0.0, "lambda": 1.0, "subsample": 1.0,
             "colsample_bytree": 1.0, "eta": 0.1, "rounds": 10}

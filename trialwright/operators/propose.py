@@ -9,16 +9,22 @@ each of its slices, so scoring never gathers a run's candidates in one task.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialwright.functions.hashing import hash52, uniform
 from trialwright.operators.space import Param
 
+# Tasks receive this module's functions with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A dense solve per slice: more distinct configurations than this is refused, not thinned out.
 MAX_HISTORY = 5_000
 
@@ -121,13 +127,12 @@ def propose_tpe(history: DataFrame, candidates: DataFrame, space: Sequence[Param
 
 
 def top_proposals(scored: DataFrame, value: str, batch: int, keys: Sequence[str] = ("run",)) -> DataFrame:
-    """The ``batch`` best candidates per run; ``batch`` bounds what is kept while aggregating."""
-    rest = [c for c in scored.columns if c not in (*keys, value, "trial_id")]
-    # Ordered by value, then by the lower trial id.
-    row = F.struct(F.col(value), (-F.col("trial_id")).alias("__id"), *rest)
-    best = F.call_function("max_by", row, row, F.lit(batch)) if batch > 1 else F.array(F.max(row))
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, F.explode("b").alias("b")).select(
-        *keys, (-F.col("b.__id")).alias("trial_id"), *[F.col(f"b.{c}").alias(c) for c in [value, *rest]])
+    """The ``batch`` best candidates per run, ties to the lower trial id.
+
+    A rank filter over a window lets Spark keep only ``batch`` rows per run in each map task.
+    """
+    order = W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc_nulls_last(value), "trial_id")
+    return scored.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= batch).drop("__rank")
 
 
 def epsilon_greedy(proposed: DataFrame, random: DataFrame, epsilon: float, seed: int = 0,
