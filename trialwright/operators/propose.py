@@ -58,12 +58,12 @@ def _score_slices(history: DataFrame, candidates: DataFrame, keys: Sequence[str]
     return left.groupBy(*keys, "__slice").cogroup(right.groupBy(*keys, "__slice")).applyInPandas(run, schema)
 
 
-def _unit_cube(frame: pd.DataFrame, space: Sequence[Param]) -> np.ndarray:
-    out = np.empty((len(frame), len(space)))
-    for j, p in enumerate(space):
-        lo, hi = (min(p.values), max(p.values)) if p.kind == "choice" else (p.lo, p.hi)
-        out[:, j] = (frame[p.name].to_numpy(dtype=float) - lo) / ((hi - lo) or 1.0)
-    return out
+def _bounds(space: Sequence[Param]) -> list[tuple[str, float, float]]:
+    return [(p.name, *((min(p.values), max(p.values)) if p.kind == "choice" else (p.lo, p.hi))) for p in space]
+
+
+def _unit_cube(frame: pd.DataFrame, bounds: list[tuple[str, float, float]]) -> np.ndarray:
+    return np.stack([(frame[n].to_numpy(dtype=float) - lo) / ((hi - lo) or 1.0) for n, lo, hi in bounds], axis=1)
 
 
 def gaussian_posterior(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, scale: float = 0.3,
@@ -84,13 +84,13 @@ def propose_ei(history: DataFrame, candidates: DataFrame, space: Sequence[Param]
 
     A run without history gives every candidate the same value.
     """
-    space = list(space)
+    bounds = _bounds(space)
 
     def score(cand: pd.DataFrame, hist: pd.DataFrame) -> np.ndarray:
         if not len(hist):
             return np.ones(len(cand))
         y, w = hist["score"].to_numpy(dtype=float), hist["weight"].to_numpy(dtype=float)
-        mu, sd = gaussian_posterior(_unit_cube(hist, space), y, w, _unit_cube(cand, space))
+        mu, sd = gaussian_posterior(_unit_cube(hist, bounds), y, w, _unit_cube(cand, bounds))
         z = (mu - y.max() - jitter) / sd
         cdf = 0.5 * (1 + np.array([math.erf(v / math.sqrt(2)) for v in z]))
         return (mu - y.max() - jitter) * cdf + sd * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
@@ -105,7 +105,7 @@ def propose_tpe(history: DataFrame, candidates: DataFrame, space: Sequence[Param
     The best ``ceil(gamma * n)`` configurations are good (ties by parameter values); each density is a
     weighted product of Gaussian kernels with a uniform floor.
     """
-    space = list(space)
+    bounds = _bounds(space)
     names = [p.name for p in space]
 
     def density(x: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def propose_tpe(history: DataFrame, candidates: DataFrame, space: Sequence[Param
             return np.zeros(len(cand))
         ranked = hist.sort_values(["score", *names], ascending=[False] + [True] * len(names))
         good = math.ceil(gamma * len(ranked))
-        x, w, at = _unit_cube(ranked, space), ranked["weight"].to_numpy(dtype=float), _unit_cube(cand, space)
+        x, w, at = _unit_cube(ranked, bounds), ranked["weight"].to_numpy(dtype=float), _unit_cube(cand, bounds)
         return np.log(density(x[:good], w[:good], at)) - np.log(density(x[good:], w[good:], at))
 
     return _score_slices(history, candidates, keys, slices, "log_ratio", score)

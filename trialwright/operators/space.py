@@ -84,7 +84,8 @@ def random_candidates(spark: SparkSession, space: Sequence[Param], n: int, seed:
     ids = spark.range(start, start + n).toDF("trial_id")
     keys = ["trial_id"]
     if runs is not None:
-        ids = runs.select("run", F.explode(F.sequence(F.lit(start), F.lit(start + n - 1))).cast("bigint").alias("trial_id"))
+        ids = runs.select("run", F.explode(F.sequence(
+            F.lit(start).cast("bigint"), F.lit(start + n - 1).cast("bigint"))).alias("trial_id"))
         keys = ["run", "trial_id"]
     return ids.select(*keys, *[p.draw(uniform(*keys, F.lit(p.name), seed=seed)).alias(p.name) for p in space])
 

@@ -19,24 +19,31 @@ def curve_sql(log: str, z: float, n: str) -> str:
         SELECT c.*, coalesce({z} * std / sqrt({n}), 0) AS half FROM c)"""
 
 
-CURVE = """SELECT experiment, iter, round(mean, 6) AS mean, round(std, 6) AS std, runs,
-    round(mean - half, 6) AS lower, round(mean + half, 6) AS upper FROM i"""
+# A mean of cents over 32, 64, .. runs can end exactly half way between two sixth decimals; the nudge puts
+# such values on one side in both engines.
+NUDGE = 1e-9
+CURVE = """SELECT experiment, iter, round(mean + 1e-9, 6) AS mean, round(std, 6) AS std, runs,
+    round(mean - half + 1e-9, 6) AS lower, round(mean + half + 1e-9, 6) AS upper FROM i"""
+
+
+def shown(curve):
+    return rounded(curve.withColumns({c: F.col(c) + NUDGE for c in ("mean", "lower", "upper")}), *INTERVAL)
 
 
 @query("q_learning_curve", f"WITH {EV}, {curve_sql('ev', 1.96, 'runs')} {CURVE}")
 def learning_curve(spark, sf):
-    return rounded(curves.learning_curve(views.events_log(spark, sf)), *INTERVAL)
+    return shown(curves.learning_curve(views.events_log(spark, sf)))
 
 
 @query("q_learning_curve_t", f"WITH {LI}, {curve_sql('li', 2.262, '10')} {CURVE}")
 def _(spark, sf):
-    return rounded(curves.learning_curve(views.lines_log(spark, sf), curves.T_95_10_RUNS, 10), *INTERVAL)
+    return shown(curves.learning_curve(views.lines_log(spark, sf), curves.T_95_10_RUNS, 10))
 
 
 @query("q_learning_curve_measured", f"""WITH {EV}, {curve_sql('ev', 1.96,
     '(SELECT sum(d.runs) / max(d.iter) FROM c d WHERE d.experiment = c.experiment)')} {CURVE}""")
 def _(spark, sf):
-    return rounded(curves.learning_curve(views.events_log(spark, sf), n="measured"), *INTERVAL)
+    return shown(curves.learning_curve(views.events_log(spark, sf), n="measured"))
 
 
 @query("q_extend_runs", f"""WITH {EV}, e AS (SELECT run, max(iter) AS last, max(score) AS score FROM ev GROUP BY run)
@@ -55,7 +62,7 @@ def _(spark, sf):
     SELECT c.*, coalesce(1.96 * std / sqrt(runs), 0) AS half FROM c) {CURVE}""")
 def _(spark, sf):
     cut = stop.stop_at_plateau(views.events_log(spark, sf), 10).select("experiment", "run", "iter", "score")
-    return rounded(curves.extended_curve(cut), *INTERVAL)
+    return shown(curves.extended_curve(cut))
 
 
 @query("q_ci_disjoint", f"""WITH {LI}, {curve_sql('li', 1.96, 'runs')}, l AS (

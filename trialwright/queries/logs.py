@@ -120,7 +120,7 @@ def _(spark, sf):
 
 
 @query("q_merge_on_shared", f"""WITH {OD} SELECT experiment, run, iter, score, total FROM od
-    JOIN (SELECT run, sum(1) AS total FROM od GROUP BY run) t USING (run)""".replace("sum(1)", "count(*)"))
+    JOIN (SELECT run, count(*) AS total FROM od GROUP BY run) t USING (run)""")
 def _(spark, sf):
     log = views.orders_log(spark, sf)
     return trials.merge_on_shared(log, log.groupBy("run").agg(F.count("*").alias("total")))
@@ -249,9 +249,9 @@ def _(spark, sf):
 
 # Columns
 
-@query("q_null_counts", """SELECT 'a' AS "column", count_if(l_tax > 0.04) AS nulls FROM lineitem
-    UNION ALL SELECT 'b', count_if(l_returnflag = 'A') FROM lineitem UNION ALL SELECT 'c', 0 FROM lineitem GROUP BY ALL"""
-       .replace("SELECT 'c', 0 FROM lineitem GROUP BY ALL", "SELECT 'c', count_if(l_partkey IS NULL) FROM lineitem"))
+@query("q_null_counts", """SELECT 'a' AS "column", CAST(count_if(l_tax > 0.04) AS BIGINT) AS nulls FROM lineitem
+    UNION ALL SELECT 'b', CAST(count_if(l_returnflag = 'A') AS BIGINT) FROM lineitem
+    UNION ALL SELECT 'c', CAST(count_if(l_partkey IS NULL) AS BIGINT) FROM lineitem""")
 def _(spark, sf):
     li = views.table(spark, sf, "lineitem")
     return stats.null_counts(li.select(

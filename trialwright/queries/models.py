@@ -1,0 +1,219 @@
+"""Boosting, cross-validation, searches and proposals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trialwright.functions.params import parse_params
+from trialwright.operators import boost, evaluate, prep, propose, space
+from trialwright.plans import search, views
+from trialwright.queries.data import KEY_SQL, LABEL_SQL
+from trialwright.queries.registry import EV, hash_sql, query, rounded, uniform_sql
+
+NUMERIC = ["l_extendedprice", "l_discount", "l_tax", "l_quantity"]
+FOLDS = 3
+
+
+def binned_lines(spark, sf, features=None, binning="quantile", bins=32):
+    data = evaluate.assign_folds(views.lines_features(spark, sf), FOLDS, views.LINE_KEYS)
+    return boost.bin_table(data, features or views.FEATURES, "label", views.LINE_KEYS, bins=bins, binning=binning)
+
+
+# One round of stumps on equal-width bins: (trial, fold) -> r2 on the held-out and the training rows.
+STUMPS = {0: (0.0, 1.0), 1: (5e7, 0.0), 2: (0.0, 20000.0)}
+
+
+def _stump_sql(bins: int = 16) -> str:
+    features = ", ".join(NUMERIC)
+    long = " UNION ALL ".join(f"SELECT fold, y, {i} AS feature, {c} AS v FROM x" for i, c in enumerate(NUMERIC))
+    trials = " UNION ALL ".join(f"SELECT {t} AS trial_id, {a}::DOUBLE AS alpha, {lam}::DOUBLE AS lam" for t, (a, lam) in STUMPS.items())
+    shrink = lambda g: f"sign({g}) * greatest(abs({g}) - alpha, 0)"
+    above = " + ".join(f"CAST(lo + (hi - lo) * {i} / {bins} < v AS INTEGER)" for i in range(1, bins))
+    routed = " ".join(f"WHEN {i} THEN x.{c}" for i, c in enumerate(NUMERIC))
+    return f"""WITH x AS (SELECT CAST({hash_sql(*KEY_SQL)} % {FOLDS} AS INTEGER) AS fold, {features}, {LABEL_SQL} AS y FROM lineitem),
+    unit AS (SELECT 1048576 / (max(y) - min(y)) AS unit, (min(y) + max(y)) / 2 AS centre FROM x),
+    pairs AS (SELECT * FROM ({trials}), (SELECT CAST(range AS INTEGER) AS held FROM range(0, {FOLDS}))),
+    bases AS (SELECT held, sum(CAST(round_even(y * unit, 0) AS BIGINT)) / max(unit) / count(*) AS base
+              FROM x, unit, (SELECT CAST(range AS INTEGER) AS held FROM range(0, {FOLDS})) h WHERE x.fold <> h.held GROUP BY held),
+    long AS ({long}), ends AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY feature),
+    edges AS (SELECT feature, range AS i, lo + (hi - lo) * range / {bins} AS edge FROM ends, range(1, {bins})),
+    binned AS (SELECT fold, y, feature, 1 + {above} AS bin FROM long JOIN ends USING (feature)),
+    cells AS (SELECT held, feature, bin, CAST(sum(CAST(round_even((base - y) * unit, 0) AS BIGINT)) AS DOUBLE) AS g, count(*)::DOUBLE AS h
+              FROM binned, unit, bases WHERE fold <> held GROUP BY held, feature, bin),
+    p AS (SELECT held, feature, bin, sum(g) OVER w / unit AS gl, sum(h) OVER w AS hl,
+                 sum(g) OVER (PARTITION BY held, feature) / unit AS gt, sum(h) OVER (PARTITION BY held, feature) AS ht
+          FROM cells, unit WINDOW w AS (PARTITION BY held, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT p.*, trial_id, lam, {shrink('gl')} AS sl, {shrink('(gt - gl)')} AS sr, {shrink('gt')} AS sn FROM p JOIN pairs USING (held)),
+    q AS (SELECT *, sl * sl / nullif(hl + lam, 0) + sr * sr / nullif(ht - hl + lam, 0) - sn * sn / nullif(ht + lam, 0) AS gain FROM s
+          WHERE hl >= 1 AND ht - hl >= 1),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, held ORDER BY gain DESC, feature, bin) AS k FROM q WHERE gain > 0)
+             WHERE k = 1),
+    trees AS (SELECT trial_id, best.held, base, best.feature, best.bin, edge, -0.3 * sl / (hl + lam) AS wl, -0.3 * sr / (ht - hl + lam) AS wr
+              FROM best JOIN bases USING (held) JOIN edges e ON e.feature = best.feature AND e.i = best.bin),
+    scored AS (SELECT trial_id, held AS fold, x.fold = held AS isTest, y,
+                      base + CASE WHEN (CASE trees.feature {routed} END) <= edge THEN wl ELSE wr END AS pred FROM x, trees)
+    SELECT CAST(trial_id AS BIGINT) AS trial_id, fold, isTest, round(1 - sum((y - pred) ** 2) / (var_pop(y) * count(*)), 6) AS r2
+    FROM scored GROUP BY ALL"""
+
+
+@query("q_boost_stump_cv", _stump_sql())
+def _(spark, sf):
+    data = binned_lines(spark, sf, NUMERIC, "width", 16)
+    params = {t: {"max_depth": 1, "rounds": 1, "eta": 0.3, "alpha": a, "lambda": lam} for t, (a, lam) in STUMPS.items()}
+    scores = boost.fit_boosted(data, params, range(FOLDS)).scores()
+    return scores.where("metric = 'r2'").select("trial_id", "fold", "isTest", F.round("value", 6).alias("r2"))
+
+
+def _candidates(spark, rows, names):
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], f"trial_id long, {', '.join(n + ' double' for n in names)}")
+
+
+@query("q_boost_cv")
+def boost_cv(spark, sf):
+    """Four configurations, all six parameters in play, three folds in one pass."""
+    rows = [(3, 1, 0, 1, 1.0, 1.0), (2, 50, 0, 1, 0.7, 1.0), (3, 1, 1000, 50, 1.0, 0.6), (1, 1, 0, 0, 0.6, 0.8)]
+    names = ["max_depth", "min_child_weight", "alpha", "lambda", "subsample", "colsample_bytree"]
+    log, _ = search.cross_validate(binned_lines(spark, sf), _candidates(spark, rows, names), FOLDS, {"rounds": 4, "eta": 0.3})
+    return rounded(log.drop("splits", "mean_fit_time", "mean_score_time"), "score", "std")
+
+
+@query("q_cv_last_round")
+def _(spark, sf):
+    """Per trial the last and the best round of the test metric."""
+    log, metrics = search.cross_validate(
+        binned_lines(spark, sf, NUMERIC), _candidates(spark, [(2, 1), (1, 10)], ["max_depth", "min_child_weight"]), FOLDS,
+        {"rounds": 3, "eta": 0.3})
+    return rounded(evaluate.last_round(metrics), "score")
+
+
+@query("q_default_config")
+def _(spark, sf):
+    log, _ = search.cross_validate(binned_lines(spark, sf, NUMERIC), space.default_config(spark), FOLDS, {"rounds": 2})
+    return rounded(log.select("trial_id", "max_depth", "score", "std"), "score", "std")
+
+
+@query("q_boost_predict")
+def _(spark, sf):
+    """Predictions of a model fitted on all rows, summarised by flag."""
+    data = binned_lines(spark, sf, NUMERIC)
+    model = boost.fit_boosted(data, {0: {"max_depth": 3, "rounds": 3, "eta": 0.5}})
+    out = model.predict(views.lines_features(spark, sf))
+    return rounded(out.groupBy("l_returnflag_A").agg(
+        F.count("*").alias("rows"), F.avg("prediction").alias("mean"), evaluate.r2().alias("r2")), "mean", "r2")
+
+
+@query("q_mllib_regressor")
+def _(spark, sf):
+    data = prep.assemble_features(views.lines_features(spark, sf).select(*NUMERIC, "label", *views.LINE_KEYS), NUMERIC, keep=views.LINE_KEYS)
+    train, test = prep.random_split(data, [0.7, 0.3], views.LINE_KEYS, 18)
+    model = boost.mllib_regressor({"max_depth": 3, "rounds": 3, "eta": 0.3, "lambda": 0.0}).fit(train)
+    return rounded(model.transform(test).agg(F.count("*").alias("rows"), evaluate.r2().alias("r2")), "r2")
+
+
+def _price_classes(spark, sf):
+    """Line items in three classes by price tercile."""
+    li = views.lines_features(spark, sf)
+    low, high = li.select(F.percentile_approx("l_extendedprice", [1 / 3, 2 / 3], 10_000)).first()[0]
+    price = F.col("l_extendedprice")
+    return li.withColumn("class", F.when(price <= low, "low").when(price <= high, "mid").otherwise("top"))
+
+
+@query("q_boost_classifier")
+def _(spark, sf):
+    """Softmax boosting of the price class: accuracy per round on held-out and training rows."""
+    data = prep.index_labels(_price_classes(spark, sf).drop("label"), "class")
+    data = evaluate.assign_folds(data, FOLDS, views.LINE_KEYS)
+    table = boost.bin_table(data, NUMERIC, "label", views.LINE_KEYS, classes=3)
+    fitted = boost.fit_boosted(table, {0: {"max_depth": 2, "eta": 0.3, "rounds": 3}}, [0])
+    return rounded(fitted.scores().select("round", "isTest", F.col("value").alias("accuracy")), "accuracy")
+
+
+@query("q_mllib_classifier")
+def _(spark, sf):
+    """One boosted binary model per class, scored on a held-out part."""
+    data = prep.index_labels(_price_classes(spark, sf).drop("label"), "class")
+    data = prep.assemble_features(data.select(*NUMERIC, "label", *views.LINE_KEYS), NUMERIC, keep=views.LINE_KEYS)
+    train, test = prep.random_split(data, [0.7, 0.3], views.LINE_KEYS, 18)
+    out = boost.mllib_classifier(2, 2, 0.3).fit(train).transform(test)
+    return rounded(out.agg(F.count("*").alias("rows"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy")), "accuracy")
+
+
+@query("q_grouped_search")
+def grouped_search(spark, sf):
+    """Three stages: depth and child weight at random, penalties from a grid, sampling by expected improvement."""
+    s = space.SEARCH_SPACE
+    depth = [space.Param("max_depth", "int", 1, 4), s[1]]
+    stages = [
+        search.Stage(depth, 4, "distinct"),
+        search.Stage([], 4, "grid", grid={"alpha": [0.0, 1000.0], "lambda": [0.0, 1.0]}),
+        search.Stage(s[4:], 4, "ei", initial=2, batch=2, pool=64, epsilon=0.1, max_no_improve=3),
+    ]
+    result = search.grouped_search(spark, binned_lines(spark, sf), stages, FOLDS, {"rounds": 2, "eta": 0.5})
+    return rounded(result.log.select("stage", "iter", "max_depth", "min_child_weight", "alpha", "lambda", "subsample",
+                                     "colsample_bytree", "score"), "score")
+
+
+# Proposals.  A run is an event type, a configuration its k.
+
+K_SPACE = [space.Param("k", "float", 0.0, 100.0)]
+
+
+def _k_history(spark, sf):
+    ev = views.table(spark, sf, "events").select(
+        F.col("event_type").alias("run"), parse_params("props")["k"].alias("k"), F.col("value").alias("score"))
+    return propose.config_history(ev, ["k"])
+
+
+def _k_candidates(spark, sf, n=200):
+    runs = views.table(spark, sf, "events").select(F.col("event_type").alias("run")).distinct()
+    return space.random_candidates(spark, K_SPACE, n, seed=5, runs=runs)
+
+
+@query("q_config_history", f"""SELECT event_type AS run, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, round(avg(value), 6) AS score,
+    count(*) AS weight FROM events GROUP BY ALL""")
+def _(spark, sf):
+    return rounded(_k_history(spark, sf), "score")
+
+
+@query("q_propose_ei")
+def _(spark, sf):
+    scored = propose.propose_ei(_k_history(spark, sf), _k_candidates(spark, sf), K_SPACE)
+    return rounded(propose.top_proposals(scored, "ei", 5), "k", "ei")
+
+
+_KERNEL = "exp(-1 * ((c.k - h.k) / 100) ** 2 / (2 * 0.2 ** 2)) / (0.2 * sqrt(2 * pi()))"
+
+
+@query("q_propose_tpe", f"""WITH h AS (
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, k) <= ceil(0.25 * count(*) OVER (PARTITION BY run)) AS good FROM (
+        SELECT event_type AS run, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, avg(value) AS score, count(*) AS weight
+        FROM events GROUP BY ALL)), c AS (
+    SELECT run, trial_id, {uniform_sql('run', 'trial_id', "'k'", seed=5)} * 100.0::DOUBLE AS k
+    FROM (SELECT DISTINCT event_type AS run FROM events), (SELECT range AS trial_id FROM range(0, 200))), d AS (
+    SELECT c.run, c.trial_id, c.k, good, (1 + sum(weight * {_KERNEL})) / (1 + sum(weight)) AS density
+    FROM c JOIN h ON c.run = h.run GROUP BY ALL)
+    SELECT run, trial_id, round(k, 6) AS k, round(ln(max(density) FILTER (good)) - ln(max(density) FILTER (NOT good)), 6) AS log_ratio
+    FROM d GROUP BY run, trial_id, k""")
+def _(spark, sf):
+    scored = propose.propose_tpe(_k_history(spark, sf), _k_candidates(spark, sf), K_SPACE)
+    return rounded(scored, "k", "log_ratio")
+
+
+@query("q_epsilon_greedy", f"""WITH r AS (SELECT DISTINCT user_id AS run FROM events), c AS (
+    SELECT run, trial_id, {uniform_sql('run', 'trial_id', "'k'", seed=1)} * 100.0::DOUBLE AS a,
+           {uniform_sql('run', 'trial_id', "'k'", seed=2)} * 100.0::DOUBLE AS b,
+           {uniform_sql('run', 'trial_id', "'epsilon'", seed=9)} < 0.1 AS pick
+    FROM r, (SELECT range AS trial_id FROM range(0, 20)))
+    SELECT run, trial_id, round(CASE WHEN pick THEN b ELSE a END, 6) AS k FROM c""")
+def _(spark, sf):
+    runs = views.table(spark, sf, "events").select(F.col("user_id").alias("run")).distinct()
+    one, two = [space.random_candidates(spark, K_SPACE, 20, seed=s, runs=runs) for s in (1, 2)]
+    return rounded(propose.epsilon_greedy(one, two, 0.1, 9), "k")
+
+
+@query("q_skip_finished", f"""WITH {EV} SELECT DISTINCT event_type, iter FROM ev
+    EXCEPT SELECT event_type, iter FROM ev WHERE stage = 2 OR score > 50""")
+def _(spark, sf):
+    log = views.staged_events(spark, sf, "event_type")
+    candidates = log.select("event_type", "iter").distinct()
+    return search.skip_finished(candidates, log.where("stage = 2 OR score > 50"), ["event_type", "iter"])

@@ -1,0 +1,81 @@
+"""Logs on disk and logs that grow."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trialwright.functions.params import parse_params
+from trialwright.operators import curves, stop
+from trialwright.plans import views
+from trialwright.queries.registry import EV, LI, OD, query, rounded
+from trialwright.queries.stops import _stop_sql
+from trialwright.session import scratch_path
+from trialwright.sources import records, trials
+from trialwright.streaming import steps
+
+
+def _event_stream(spark, sf):
+    """The events table as a stream of steps: a user's events in id order."""
+    schema = views.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    return stream.select(F.col("user_id").alias("run"), F.col("event_id").alias("iter"), F.col("value").alias("score"))
+
+
+@query("q_on_step", """SELECT user_id AS run, count(*) AS steps, max(value) AS best_score,
+    min(event_id) FILTER (value = top) AS best_iter FROM (
+    SELECT *, max(value) OVER (PARTITION BY user_id) AS top FROM events) GROUP BY user_id""")
+def _(spark, sf):
+    return steps.run_to_table(steps.on_step(_event_stream(spark, sf)), "update")
+
+
+@query("q_live_stop", f"""WITH e AS (SELECT 'e' AS experiment, user_id AS run, event_id AS iter, value AS score FROM events),
+    {_stop_sql('e', 10)} SELECT s.run, s.iter AS stop_iter, s.best FROM scan s JOIN stops t ON s.run = t.run WHERE s.pos = t.stop""")
+def live_stop(spark, sf):
+    path = scratch_path(spark, "live-stop")
+    steps.live_stop(_event_stream(spark, sf), 10, path).awaitTermination()
+    return steps.read_stops(spark, path, "bigint")
+
+
+@query("q_step_log", f"""WITH {EV} SELECT run, count(*) AS steps, greatest(80 - count(*), 0) AS remaining, round(sum(score), 4) AS total,
+    round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) AS k FROM ev GROUP BY run""")
+def _(spark, sf):
+    """Steps appended to a JSON log in two parts, the second numbered from 1 again, then resumed."""
+    log = views.events_log(spark, sf, "props").select(
+        F.col("run").cast("string").alias("run"), "iter", "score", parse_params("props").alias("params"),
+        F.lit(None).cast("timestamp").alias("ts"))
+    first, second = scratch_path(spark, "steps"), scratch_path(spark, "steps")
+    steps.log_steps(log.where("iter <= 30"), first)
+    steps.log_steps(log.where("iter > 30").withColumn("iter", F.col("iter") - 30), second)
+    whole = records.concat_event_logs(records.read_event_log(spark, first), records.read_event_log(spark, second))
+    left = steps.remaining_budget(whole, 80)
+    sums = whole.groupBy("run").agg(F.max("iter").alias("steps"), F.sum("score").alias("total"), F.sum(F.col("params")["k"]).alias("k"))
+    return rounded(sums.join(left, "run").withColumn("run", F.col("run").cast("bigint")), "total", "k", places=4)
+
+
+@query("q_stream_log", f"""WITH {OD} SELECT run, count(*) AS steps, max(score) AS best_score,
+    min(iter) FILTER (score = top) AS best_iter FROM (SELECT *, max(score) OVER (PARTITION BY run) AS top FROM od) GROUP BY run""")
+def _(spark, sf):
+    """Orders written as a JSON step log and followed as a stream."""
+    path = scratch_path(spark, "steps")
+    steps.log_steps(views.orders_log(spark, sf).select(F.col("run").cast("string").alias("run"), "iter", "score"), path)
+    out = steps.run_to_table(steps.on_step(steps.read_steps(spark, path, 2)), "update")
+    return out.withColumn("run", F.col("run").cast("bigint"))
+
+
+@query("q_trial_files", f"""WITH {LI} SELECT experiment, run, count(*) AS n, max(iter) AS last, max(score) AS best FROM li GROUP BY ALL""")
+def _(spark, sf):
+    """A log written by experiment and read back."""
+    path = scratch_path(spark, "trials")
+    trials.write_trials(views.lines_log(spark, sf), path, ["experiment"])
+    back = spark.read.schema("run long, iter long, score double, experiment string").parquet(path)
+    return back.groupBy("experiment", "run").agg(F.count("*").alias("n"), F.max("iter").alias("last"), F.max("score").alias("best"))
+
+
+@query("q_summary_file", f"""WITH {OD}, p AS (SELECT experiment, run, max(score) AS best FROM od GROUP BY ALL)
+    SELECT experiment AS method, round(avg(best), 6) AS mean, round(stddev_pop(best), 6) AS std FROM p GROUP BY experiment""")
+def _(spark, sf):
+    path = scratch_path(spark, "summary")
+    summary = curves.stop_summary(stop.stop_at_plateau(views.orders_log(spark, sf), 1000)).select(
+        F.col("experiment").alias("method"), F.col("score_mean").alias("mean"), F.col("score_std").alias("std"))
+    records.write_summary(summary, path)
+    return rounded(records.read_summary(spark, path).drop("stop"), "mean", "std")
