@@ -15,7 +15,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialwright.functions.hashing import hash52
@@ -159,6 +159,13 @@ def best_splits(histogram: DataFrame, settings: DataFrame, g_unit: float = 1.0,
     return histogram.sparkSession.sql(text, histogram=histogram, settings=settings)
 
 
+def settings_table(spark: SparkSession, params: Sequence[Mapping[str, float]], start: int = 0) -> DataFrame:
+    """(tree, alpha, lambda, min_child_weight) as a literal relation, which is broadcast without a job."""
+    rows = ", ".join(f"({i}, {float(p['alpha'])!r}D, {float(p['lambda'])!r}D, {float(p['min_child_weight'])!r}D)"
+                     for i, p in enumerate(params, start))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(tree, alpha, lambda, min_child_weight)")
+
+
 def leaf_weight(g: float, h: float, alpha: float, lam: float) -> float:
     shrunk = np.sign(g) * max(abs(g) - alpha, 0.0)
     return float(-shrunk / (h + lam)) if h + lam > 0 else 0.0
@@ -229,10 +236,7 @@ def fit_boosted(data: Binned, params: Mapping[int, Mapping[str, float]], folds:
     params = {t: {**DEFAULTS, **p} for t, p in params.items()}
     fits = [Fit(t, held, _base(data, held), float(p["subsample"])) for t, p in params.items() for held in folds]
     h_unit = float(GRADIENT_UNIT) if data.classes else 1.0
-    settings = spark.createDataFrame(
-        [(i * outputs + k, float(params[f.trial]["alpha"]), float(params[f.trial]["lambda"]),
-          float(params[f.trial]["min_child_weight"])) for i, f in enumerate(fits) for k in range(outputs)],
-        "tree int, alpha double, lambda double, min_child_weight double")
+    settings = settings_table(spark, [params[f.trial] for f in fits for _ in range(outputs)])
     table, written = data.table, 0
     for round_ in range(max(int(p["rounds"]) for p in params.values())):
         if round_ - written >= REFRESH_ROUNDS:

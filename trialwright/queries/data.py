@@ -262,8 +262,7 @@ def _(spark, sf):
     tree = F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run")).cast("int")
     cells = cells.groupBy(tree.alias("tree"), F.lit(0).alias("node"), "c.feature", "c.bin").agg(
         F.sum("g").alias("g"), F.count("*").alias("h"))
-    settings = spark.createDataFrame([(i + 1, 1000.0, 5.0, 20.0) for i in range(3)],
-                                     "tree int, alpha double, lambda double, min_child_weight double")
+    settings = boost.settings_table(spark, [{"alpha": 1000, "lambda": 5, "min_child_weight": 20}] * 3, start=1)
     found = boost.best_splits(cells, settings, 1024.0, combined=False).where("feature IS NOT NULL")
     return found.select(F.element_at(F.array(*[F.lit(r) for r in runs]), F.col("tree")).alias("run"), "feature", "bin",
                         F.round("gl", 3).alias("gl"), "hl", F.round(F.col("gain") / 1000000, 3).alias("gain"))
