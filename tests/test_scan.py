@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialwright.operators.scan import LONGEST, longest_run, number_rows, prefix_scan
+from trialwright.operators.scan import join_runs, longest_run, number_rows, prefix_scan
 from trialwright.operators.stats import describe_scores, exact_quantiles
-from trialwright.operators.trials import plateau_lengths, rank_trials, running_best
+from trialwright.operators.trials import plateau_lengths, rank_trials, running_best, union_trials
 
 
 @pytest.fixture(scope="module")
@@ -25,15 +25,17 @@ def skewed(spark):
 
 def test_number_rows_small_records_the_bound(skewed):
     numbered = number_rows(skewed, ["run"], ["noise"], "n")
-    assert longest_run(numbered, "n") == 400
-    assert numbered.schema["n"].metadata == {LONGEST: 400}
+    assert longest_run(numbered, "n", ["run"]) == 400
+    assert longest_run(numbered, "n", ["run", "score"]) == 400
+    assert longest_run(numbered, "n", ["score"]) is None
+    assert longest_run(numbered.where("run > 1").select("run", "n"), "n", ["run"]) == 400
 
 
 @pytest.mark.parametrize("keys", [["run"], []])
 def test_number_rows_split_equals_window(skewed, rows, keys):
     expected = skewed.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("noise")).cast("long"))
     split = number_rows(skewed, keys, ["noise"], "n", task_rows=50)
-    assert longest_run(split, "n") is None
+    assert longest_run(split, "n", keys) is None
     assert rows(split, "noise", "n") == rows(expected, "noise", "n")
 
 
@@ -88,3 +90,16 @@ def test_running_best_is_monotone_and_reaches_the_maximum(skewed):
     best = running_best(skewed, ["run"]).withColumn("before", F.lag("best").over(w))
     assert best.where("best < before").count() == 0
     assert best.groupBy("run").agg(F.max("best").alias("b"), F.max("score").alias("s")).where("NOT b <=> s").count() == 0
+
+
+def test_union_adds_up_the_bounds(skewed):
+    a = number_rows(skewed, ["run"], ["noise"], "iter")
+    assert longest_run(union_trials(a, a), "iter", ["run"]) == 800
+    assert longest_run(union_trials(a, skewed), "iter", ["run"]) is None
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_join_runs_split_equals_join(skewed, how):
+    per_run = skewed.where("run < 3").groupBy("run").agg(F.max("score").alias("top"))
+    show = lambda df: sorted(map(str, (tuple(r) for r in df.select(sorted(df.columns)).collect())))
+    assert show(join_runs(skewed, per_run, ["run"], how, task_rows=16)) == show(skewed.join(per_run, "run", how))

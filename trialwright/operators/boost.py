@@ -18,7 +18,6 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialwright.functions.hashing import hash52
 from trialwright.operators import kernels
 from trialwright.operators.kernels import (
     DENSE_CELLS, GRADIENT_UNIT, MISSING_BIN, Fit, Tree, bin_rows, histogram_rows, margin_rows, open_cells,
@@ -56,7 +55,7 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int = 32, binning: s
     """Inner edges per feature from one pass: mergeable quantile sketches, or equal widths."""
     if binning == "quantile":
         at = [i / bins for i in range(1, bins)]
-        row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in features]).first()
+        row = df.agg(*[F.percentile_approx(c, at, 100 * bins).alias(c) for c in features]).first()
         return [np.unique(np.array(row[c] or [], dtype=float)) for c in features]
     if binning != "width":
         raise ValueError(f"unknown binning {binning!r}")
@@ -78,13 +77,13 @@ def bin_table(df: DataFrame, features: Sequence[str], label: str, key: Sequence[
     features = list(features)
     as_double = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in features]
     fold_column = F.col(fold).cast("int") if fold else F.lit(0)
-    narrow = df.select(hash52(*key).alias("row_key"), fold_column.alias("fold"),
+    narrow = df.select(F.xxhash64(*key).alias("row_key"), fold_column.alias("fold"),
                        F.col(label).cast("double").alias("label"), *as_double)
     clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
     edges = bin_edges(clean, features, bins, binning)
     packed = narrow.select("row_key", "fold", "label", F.array(*features).alias("features"))
-    table = _spread(materialize(packed.mapInArrow(
-        bin_rows(edges), "row_key long, fold int, label double, bins array<smallint>"), "binned"))
+    table = materialize(packed.mapInArrow(
+        bin_rows(edges), "row_key long, fold int, label double, bins array<smallint>"), "binned")
     lo, hi = table.agg(F.min("label"), F.max("label")).first()
     spread = (hi - lo) or 1.0
     unit = GRADIENT_UNIT if classes else GRADIENT_UNIT / spread
@@ -94,12 +93,6 @@ def bin_table(df: DataFrame, features: Sequence[str], label: str, key: Sequence[
     return Binned(table, features, edges, unit, (lo + hi) / 2, sums, classes)
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """A table of few files is rewritten once with a part per core; larger ones stay as they are."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return materialize(table.repartition(cores), "binned") if len(table.inputFiles()) < cores else table
-
-
 def _sampled_features(m: int, fraction: float, trial: int, round_: int, seed: int) -> list[int]:
     if fraction >= 1:
         return list(range(m))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialwright.functions.hashing import hash52
 from trialwright.operators.scan import number_rows
-from trialwright.session import TASK_ROWS
+from trialwright.session import TASK_ROWS, materialize
 
 
 def assign_folds(df: DataFrame, k: int, key: Sequence[str], seed: int = 0, contiguous: bool = False,
@@ -63,14 +64,14 @@ def train_and_test(data: DataFrame, k: int) -> DataFrame:
 
 def fold_summary(metrics: DataFrame, metric: str = "r2", keys: Sequence[str] = ("trial_id",)) -> DataFrame:
     """Mean and population std over test folds, the fold values in order, and min-rank by mean."""
-    from trialwright.operators.trials import rank_trials
-
     tests = metrics.where((F.col("metric") == metric) & F.col("isTest"))
     ordered = F.array_sort(F.collect_list(F.struct("fold", "value")))
     summary = tests.groupBy(*keys).agg(
         F.avg("value").alias("score"), F.stddev_pop("value").alias("std"),
         F.transform(ordered, lambda s: s["value"]).alias("splits"))
-    return rank_trials(summary.withColumn("iter", F.col(keys[-1])), keys[:-1]).drop("iter")
+    # One row per trial of a search: the window holds a budget of rows, not the data.
+    best_first = W.partitionBy(*(keys[:-1] or [F.lit(1)])).orderBy(F.desc_nulls_last("score"))
+    return summary.withColumn("rank", F.rank().over(best_first).cast("bigint"))
 
 
 def last_round(metrics: DataFrame, metric: str = "r2") -> DataFrame:
@@ -86,8 +87,10 @@ OBJECTIVE = "SELECT AVG(value) FROM __THIS__ WHERE metric = 'r2' AND isTest"
 def objective_sql(metrics: DataFrame, query: str = OBJECTIVE) -> DataFrame:
     """Evaluate a user's SQL over each trial's own metric rows: (trial_id, score).
 
-    The query becomes a lateral subquery over ``__THIS__``, so all trials are one plan.
+    The query becomes a lateral subquery over ``__THIS__``, so all trials are one plan.  The metric rows
+    (trials x folds x metrics) are written first, as the plan reads them twice.
     """
+    metrics = materialize(metrics, "metrics")
     own = "(SELECT * FROM {metrics} AS m WHERE m.trial_id = t.trial_id)"
     text = f"""SELECT t.trial_id, o.score
         FROM {{trials}} AS t, LATERAL ({query.replace('__THIS__', own)}) AS o(score)"""

@@ -26,9 +26,10 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [0])
     right: list[int] = field(default_factory=lambda: [0])
     value: list[float] = field(default_factory=lambda: [0.0])
+    arrays: tuple | None = field(default=None, compare=False, repr=False)
 
     def split(self, node: int, feature: int, bin_: int, missing_left: bool, left: float, right: float) -> tuple[int, int]:
-        a, b = len(self.feature), len(self.feature) + 1
+        a, b, self.arrays = len(self.feature), len(self.feature) + 1, None
         self.feature[node], self.bin[node], self.missing_left[node] = feature, bin_, missing_left
         self.left[node], self.right[node] = a, b
         for value in (left, right):
@@ -42,8 +43,9 @@ class Tree:
 
     def route(self, bins: np.ndarray) -> np.ndarray:
         """Node each row of ``bins`` ends in."""
-        feature, cut = np.asarray(self.feature), np.asarray(self.bin)
-        missing, left, right = np.asarray(self.missing_left), np.asarray(self.left), np.asarray(self.right)
+        if self.arrays is None:  # once per task, not once per batch
+            self.arrays = tuple(np.asarray(v) for v in (self.feature, self.bin, self.missing_left, self.left, self.right))
+        feature, cut, missing, left, right = self.arrays
         node = np.zeros(len(bins), dtype=np.int64)
         moving = np.arange(len(bins)) if feature[0] >= 0 else np.empty(0, dtype=np.int64)
         while len(moving):
@@ -138,6 +140,7 @@ def histogram_rows(fits: list[Fit], width: int, unit: float, classes: int, skip:
                 continue
             rows, fold, label, bins = batch_arrays(batch)
             start = start_margins(batch, len(fits))
+            flat = bins.astype(np.int64) + np.arange(bins.shape[1]) * width
             for i, fit in enumerate(fits):
                 if not any(fit.active):
                     continue
@@ -147,19 +150,27 @@ def histogram_rows(fits: list[Fit], width: int, unit: float, classes: int, skip:
                 b = bins[train]
                 margins = fit.margins(b, None if start is None else start[train, i], skip)
                 grad, hess = gradients(margins, label[train], classes, unit)
-                columns = b[:, fit.features].astype(np.int64) + np.arange(len(fit.features)) * width
+                m = len(fit.features)
+                columns = flat[train]
+                if m < bins.shape[1]:
+                    columns = columns[:, fit.features] + (np.arange(m) - fit.features) * width
                 for k, active in enumerate(fit.active):
                     if not active:
                         continue
                     slot_of = np.full(len(fit.growing[k].feature), -1)
                     slot_of[list(active)] = np.arange(len(active))
                     slot = slot_of[fit.growing[k].route(b)]
-                    at = slot >= 0
-                    size = len(active) * len(fit.features) * width
-                    code = (slot[at, None] * (len(fit.features) * width) + columns[at]).ravel()
-                    m = len(fit.features)
-                    g = np.bincount(code, np.repeat(grad[at, k], m), size)
-                    h = np.bincount(code, np.repeat(hess[at, k], m), size)
+                    at, size = slot >= 0, len(active) * m * width
+                    if at.all():
+                        code = columns + (slot * (m * width))[:, None] if len(active) > 1 else columns
+                        grad_at, hess_at = grad[:, k], hess[:, k]
+                    else:
+                        code = columns[at] + (slot[at] * (m * width))[:, None]
+                        grad_at, hess_at = grad[at, k], hess[at, k]
+                    code = code.ravel()
+                    g = np.bincount(code, np.repeat(grad_at, m), size)
+                    # Squared loss has second derivative 1: its sum is a count.
+                    h = np.bincount(code, np.repeat(hess_at, m) if classes else None, size)
                     key = (i * outputs + k, tuple(active), tuple(fit.features))
                     if key in sums:
                         sums[key] = (sums[key][0] + g, sums[key][1] + h)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from trialwright.session import TASK_ROWS, materialize
 
-# Column metadata that records the measured length of the longest run.
-LONGEST = "longest_run"
+# Column metadata that records the measured length of the longest run, and what a run is.
+LONGEST, LONGEST_KEYS = "longest_run", "longest_run_keys"
 
 _FUNCTIONS = {"max": F.max, "sum": F.sum, "count": F.count}
 
@@ -26,22 +26,24 @@ def _columns(items) -> list[Column]:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "iter",
-                task_rows: int = TASK_ROWS) -> DataFrame:
+                task_rows: int = TASK_ROWS, at_most: int | None = None) -> DataFrame:
     """Add 1..n per group in the given total order.
 
-    Group sizes are measured first (one column, map-side combined).  While the largest fits a task this
+    Group sizes are measured first (one column, map-side combined) unless a bound is known.  While the largest fits a task this
     is a plain ``row_number``.  Otherwise rows are range-partitioned over (keys, order), which divides a
     large group between tasks; each part is numbered alone and shifted by the sizes of the parts before.
     The placed rows are written once, so part numbers cannot change when a task is retried.
     """
     keys, order = list(keys), _columns(order)
-    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    longest, total = sizes[0] or 0, sizes[1] or 0
+    longest, total = at_most, at_most
+    if at_most is None or at_most > task_rows:
+        sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+        longest, total = sizes[0] or 0, sizes[1] or 0
     if longest <= task_rows:
         window = W.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)
         number = F.row_number().over(window).cast("bigint")
         return df.withColumn("__n", number).select(
-            *[c for c in df.columns if c != name], F.col("__n").alias(name, metadata={LONGEST: int(longest)}))
+            *[c for c in df.columns if c != name], bounded("__n", name, int(longest), keys))
     shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(shuffle_parts, math.ceil(2 * total / task_rows))
     placed = materialize(
@@ -56,9 +58,32 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, name: str =
         *[numbered[c] for c in df.columns if c != name], (F.col("__local") + F.col("__offset")).alias(name))
 
 
-def longest_run(log: DataFrame, order: str) -> int | None:
-    """Measured bound that ``number_rows`` left on the order column, if any."""
-    return log.schema[order].metadata.get(LONGEST)
+def bounded(column: str, name: str, longest: int | None, keys: Sequence[str]) -> Column:
+    """The order column with the measured bound attached (None says there is none)."""
+    return F.col(column).alias(name, metadata={LONGEST: longest, LONGEST_KEYS: list(keys)})
+
+
+def longest_run(log: DataFrame, order: str, keys: Sequence[str]) -> int | None:
+    """Measured bound on the rows of a group, if the groups are those measured or parts of them."""
+    metadata = log.schema[order].metadata
+    longest = metadata.get(LONGEST)
+    return longest if longest is not None and set(metadata[LONGEST_KEYS]) <= set(keys) else None
+
+
+def join_runs(log: DataFrame, per_run: DataFrame, keys: Sequence[str], how: str = "left", order: str = "iter",
+              task_rows: int = TASK_ROWS) -> DataFrame:
+    """Join a table of one row per run to the rows of a log.
+
+    A run longer than a task is met piece by piece: its one row is sent to each piece the log has, so the
+    join's key is (keys, piece), the partitioning ``prefix_scan`` leaves.
+    """
+    keys = list(keys)
+    bound = longest_run(log, order, keys)
+    if bound is not None and bound <= task_rows:
+        return log.join(per_run, keys, how)
+    pieces = log.withColumn("__piece", F.floor(F.col(order) / task_rows))
+    there = pieces.select(*keys, "__piece").distinct()
+    return pieces.join(per_run.join(there, keys), [*keys, "__piece"], how).drop("__piece")
 
 
 def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple[str, str]], order: str = "iter",
@@ -72,7 +97,7 @@ def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple
     """
     keys = list(keys)
     to_here = (W.unboundedPreceding, W.currentRow)
-    bound = longest_run(log, order)
+    bound = longest_run(log, order, keys)
     if bound is not None and bound <= task_rows:
         window = W.partitionBy(*keys).orderBy(order).rowsBetween(*to_here)
         return log.withColumns({n: _FUNCTIONS[f](c).over(window) for n, (f, c) in running.items()})

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialwright.operators.scan import number_rows
+from trialwright.operators.scan import join_runs, longest_run, number_rows
 from trialwright.operators.trials import RUN, STAGE_SIZE, best_per_run, plateau_lengths, scored_scan, union_trials
 from trialwright.session import TASK_ROWS
 
@@ -37,7 +37,7 @@ def stop_at_plateau(log: DataFrame, n: int, keys: Sequence[str] = RUN, on_missin
     """The log up to each run's plateau stop, with running best and position."""
     stops = plateau_stop(log, n, keys, on_missing, task_rows).select(*keys, "stop_pos")
     scan = scored_scan(log, keys, task_rows)
-    return scan.join(stops, list(keys), "left").where(
+    return join_runs(scan, stops, keys, task_rows=task_rows).where(
         F.col("pos") <= F.coalesce("stop_pos", "pos")).select(scan.columns)
 
 
@@ -77,7 +77,7 @@ def stop_rule(log: DataFrame, n: int, mode: str = "plateau", keys: Sequence[str]
 def cut_stage(log: DataFrame, stops: DataFrame, keys: Sequence[str] = ("run",)) -> DataFrame:
     """Rows up to ``last_iter`` of their run; runs without a stop stay whole."""
     stops = stops.select(*keys, F.col("last_iter").alias("__last"))
-    return log.join(stops, list(keys), "left").where(
+    return join_runs(log, stops, keys).where(
         F.col("iter") <= F.coalesce("__last", "iter")).select(log.columns)
 
 
@@ -87,7 +87,8 @@ def stitch_stages(stages: Sequence[DataFrame], n: int, mode: str = "global_best"
     cut = [cut_stage(s, stop_rule(s, n, mode, keys), keys).withColumn("stage", F.lit(i))
            for i, s in enumerate(stages, 1)]
     joined = union_trials(*cut).withColumnRenamed("iter", "stage_iter")
-    return number_rows(joined, keys, ["stage", "stage_iter"])
+    bounds = [longest_run(s, "iter", keys) for s in stages]
+    return number_rows(joined, keys, ["stage", "stage_iter"], at_most=None if None in bounds else sum(bounds))
 
 
 def select_stage_log(original: DataFrame, rerun: DataFrame, stops: Sequence[DataFrame],
@@ -98,7 +99,7 @@ def select_stage_log(original: DataFrame, rerun: DataFrame, stops: Sequence[Data
     for s in stops:
         ran = s.where(F.col("last_iter") == stage_size).select(*keys)
         full = ran if full is None else full.join(ran, keys)
-    return union_trials(original.join(full, keys, "left_semi"), rerun.join(full, keys, "left_anti"))
+    return union_trials(join_runs(original, full, keys, "left_semi"), join_runs(rerun, full, keys, "left_anti"))
 
 
 def assemble_group_logs(stages: Sequence[DataFrame], keys: Sequence[str] = ("run",)) -> DataFrame:
@@ -106,7 +107,7 @@ def assemble_group_logs(stages: Sequence[DataFrame], keys: Sequence[str] = ("run
     log = union_trials(*[s.withColumn("stage", F.lit(i)) for i, s in enumerate(stages, 1)])
     seen = log.groupBy(*keys, "stage").count().groupBy(*keys).agg(F.count("*").alias("__stages"))
     whole = seen.where(F.col("__stages") == len(stages)).select(*keys)
-    return log.join(whole, list(keys), "left_semi")
+    return join_runs(log, whole, keys, "left_semi")
 
 
 def missing_runs(log: DataFrame, expected: Sequence[int] = range(1, 11)) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialwright.operators.scan import longest_run, number_rows, prefix_scan
+from trialwright.operators.scan import LONGEST, LONGEST_KEYS, bounded, join_runs, longest_run, number_rows, prefix_scan
 from trialwright.session import TASK_ROWS
 
 RUN = ("experiment", "run")
@@ -123,7 +123,7 @@ def last_iter_rows(log: DataFrame, keys: Sequence[str] = ("run",)) -> DataFrame:
 def rank_trials(log: DataFrame, keys: Sequence[str] = ("run", "stage"), task_rows: int = TASK_ROWS) -> DataFrame:
     """Rank by score, best = 1, ties share the lowest rank."""
     ordered = number_rows(log, keys, [F.desc_nulls_last("score"), F.col("iter")], "__pos", task_rows)
-    if longest_run(ordered, "__pos") is not None:
+    if longest_run(ordered, "__pos", keys) is not None:
         window = W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc_nulls_last("score"))
         return ordered.withColumn("rank", F.rank().over(window).cast("bigint")).drop("__pos")
     # A tie may be as large as its group: its first position is sent to each slice of positions it covers.
@@ -146,7 +146,14 @@ def union_trials(*logs: DataFrame) -> DataFrame:
     out = logs[0]
     for log in logs[1:]:
         out = out.unionByName(log, allowMissingColumns=True)
-    return out
+    if "iter" not in out.columns:
+        return out
+    # The logs may share runs: a run is at most as long as its parts together.
+    measured = [log.schema["iter"].metadata if "iter" in log.columns else {} for log in logs]
+    same = all(m.get(LONGEST) is not None and m[LONGEST_KEYS] == measured[0][LONGEST_KEYS] for m in measured)
+    bound = sum(m[LONGEST] for m in measured) if same else None
+    keys = measured[0][LONGEST_KEYS] if same else []
+    return out.select(*[bounded("iter", "iter", bound, keys) if c == "iter" else c for c in out.columns])
 
 
 def intersect_iters(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("run",)) -> DataFrame:
@@ -172,7 +179,7 @@ def truncate_stage1(first: DataFrame, later: DataFrame, keys: Sequence[str] = ("
     """Rows before the run's first iteration in ``later``."""
     keys = list(keys)
     starts = later.groupBy(*keys).agg(F.min("iter").alias("__start"))
-    joined = first.join(starts, keys, "left" if keep_unmatched else "inner")
+    joined = join_runs(first, starts, keys, "left" if keep_unmatched else "inner")
     before = F.col("iter") < F.col("__start")
     return joined.where(F.coalesce(before, F.lit(True)) if keep_unmatched else before).select(first.columns)
 
@@ -210,11 +217,11 @@ def fill_params_from_best(log: DataFrame, names: Sequence[str], keys: Sequence[s
     per_run = winners.groupBy(*keys).agg(
         *[F.max(F.col("params")[n]).alias(f"__{n}") for n in names])
     filled = {prefix + n: F.coalesce(F.col(prefix + n), F.col(f"__{n}")) for n in names}
-    return log.join(per_run, list(keys), "left").withColumns(filled).select(log.columns)
+    return join_runs(log, per_run, keys).withColumns(filled).select(log.columns)
 
 
 def fill_from_stage(later: DataFrame, earlier: DataFrame, columns: Sequence[str],
                     keys: Sequence[str] = ("run",)) -> DataFrame:
     """Give the rows of a later stage the columns of the earlier stage's last trial of the same run."""
     last = last_iter_rows(earlier, keys).select(*keys, *columns)
-    return later.drop(*columns).join(last, list(keys))
+    return join_runs(later.drop(*columns), last, keys, "inner")

@@ -9,13 +9,14 @@ from trialwright.operators import boost, evaluate, prep, propose, space
 from trialwright.plans import search, views
 from trialwright.queries.data import KEY_SQL, LABEL_SQL
 from trialwright.queries.registry import EV, hash_sql, query, rounded, uniform_sql
+from trialwright.session import spread
 
 NUMERIC = ["l_extendedprice", "l_discount", "l_tax", "l_quantity"]
 FOLDS = 3
 
 
 def binned_lines(spark, sf, features=None, binning="quantile", bins=32):
-    data = evaluate.assign_folds(views.lines_features(spark, sf), FOLDS, views.LINE_KEYS)
+    data = evaluate.assign_folds(spread(views.lines_features(spark, sf), views.LINE_KEYS), FOLDS, views.LINE_KEYS)
     return boost.bin_table(data, features or views.FEATURES, "label", views.LINE_KEYS, bins=bins, binning=binning)
 
 
@@ -112,7 +113,7 @@ def _(spark, sf):
 
 def _price_classes(spark, sf):
     """Line items in three classes by price tercile."""
-    li = views.lines_features(spark, sf)
+    li = spread(views.lines_features(spark, sf), views.LINE_KEYS)
     low, high = li.select(F.percentile_approx("l_extendedprice", [1 / 3, 2 / 3], 10_000)).first()[0]
     price = F.col("l_extendedprice")
     return li.withColumn("class", F.when(price <= low, "low").when(price <= high, "mid").otherwise("top"))

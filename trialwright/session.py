@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Deal out the rows of a source with fewer files than cores by their key; larger sources are read in place."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df

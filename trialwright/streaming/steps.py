@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from trialwright.operators.scan import prefix_scan
+from trialwright.operators.scan import join_runs, prefix_scan
 from trialwright.schemas import STEP
 from trialwright.session import materialize, scratch_path
 
@@ -49,7 +49,7 @@ def live_stop(steps: DataFrame, n: int, path: str, threshold: float | None = Non
         state = (spark.read.schema(schema).parquet(f"{path}/state/version={batch_id - 1}") if batch_id
                  else spark.createDataFrame([], schema))
         seen = state.select("run", F.col("best").alias("s_best"), F.col("held").alias("s_held"), "last_iter", "stopped")
-        fresh = batch.select("run", "iter", "score").join(seen, "run", "left").where(
+        fresh = join_runs(batch.select("run", "iter", "score"), seen, ["run"]).where(
             ~F.coalesce("stopped", F.lit(False)) & (F.col("iter") > F.coalesce("last_iter", F.lit(-1))))
         scan = prefix_scan(fresh, ["run"], {"top": ("max", "score"), "pos": ("count", "score")})
         scan = materialize(scan.withColumn("best", F.greatest("top", "s_best")).select(
@@ -63,7 +63,8 @@ def live_stop(steps: DataFrame, n: int, path: str, threshold: float | None = Non
         runs = plateaus.groupBy("run").agg(
             F.min(reached).alias("stop_pos"), F.max("best").alias("best"),
             F.max_by(F.col("length") + F.col("carried"), "best").alias("held"))
-        stops = scan.where(F.col("score").isNotNull()).join(runs.select("run", "stop_pos"), "run").where(
+        scored = scan.where(F.col("score").isNotNull())
+        stops = join_runs(scored, runs.where("stop_pos IS NOT NULL").select("run", "stop_pos"), ["run"], "inner").where(
             F.col("pos") == F.col("stop_pos"))
         stops.select("run", F.col("iter").alias("stop_iter"), "best").write.mode("overwrite").parquet(
             f"{path}/stops/batch={batch_id}")
