@@ -14,23 +14,31 @@ def _objective(candidates):
     return candidates.withColumn("score", 1 - (F.col("x") - 0.7) * (F.col("x") - 0.7))
 
 
-def test_posterior_interpolates_and_averages():
+def test_posterior_interpolates():
     x, y = np.array([[0.0], [0.5], [1.0]]), np.array([0.0, 1.0, 0.5])
-    mu, sd = propose.gaussian_posterior(x, y, np.ones(3), np.array([[0.5], [0.25]]), noise=1e-6)
+    mu, sd = propose.gaussian_posterior(x, y, np.ones(3), noise=1e-6)(np.array([[0.5], [0.25]]))
     assert mu[0] == pytest.approx(1.0, abs=1e-2) and sd[0] < sd[1]
-    # Repeated trials of one configuration equal one averaged trial with a weight.
-    a = propose.gaussian_posterior(np.array([[0.2], [0.2], [0.9]]), np.array([1.0, 3.0, 0.0]), np.ones(3), np.array([[0.4]]), noise=0.1)
-    k = lambda p, q: np.exp(-((p - q) ** 2) / (2 * 0.3**2))
-    assert np.isfinite(a[0]).all() and k(0, 0) == 1
 
 
-def test_slices_do_not_change_the_scores(spark, rows):
+def test_averaged_repeats_equal_single_trials():
+    """A configuration tried twice equals its mean with weight 2 (same prior mean and scale)."""
+    at, noise, scale = np.array([[0.1], [0.4], [0.8]]), 0.1, 0.3
+    k = lambda p, q: np.exp(-((p - q.T) ** 2) / (2 * scale**2))
+    x, y = np.array([[0.2], [0.2], [0.9]]), np.array([1.0, 3.0, 0.0])
+    prior, unit = y.mean(), np.array([2.0, 0.0]).std()
+    full = prior + k(at, x) @ np.linalg.solve(k(x, x) + np.diag([noise + 1e-9] * 3), y - prior)
+    mu, _ = propose.gaussian_posterior(np.array([[0.2], [0.9]]), np.array([2.0, 0.0]), np.array([2.0, 1.0]), scale, noise)(at)
+    assert unit > 0 and mu == pytest.approx(full, abs=1e-6)
+
+
+def test_slices_and_blocks_do_not_change_the_scores(spark, rows, monkeypatch):
     history = spark.createDataFrame([("r", i / 10, 1 - (i / 10 - 0.7) ** 2) for i in range(0, 10, 2)], "run string, x double, score double")
     history = propose.config_history(history, ["x"])
     runs = spark.createDataFrame([("r",), ("new",)], "run string")
     cand = space.random_candidates(spark, SPACE, 60, seed=2, runs=runs)
     for fn, value in ((propose.propose_ei, "ei"), (propose.propose_tpe, "log_ratio")):
         one = rows(fn(history, cand, SPACE, slices=1), "run", "trial_id", value)
+        monkeypatch.setattr(propose, "BLOCK", 5)
         many = rows(fn(history, cand, SPACE, slices=7), "run", "trial_id", value)
         assert [r[:2] for r in one] == [r[:2] for r in many] and len(one) == 120
         assert [r[2] for r in one] == pytest.approx([r[2] for r in many], abs=1e-9)
@@ -108,7 +116,7 @@ def test_grouped_search_freezes_winners(spark):
     stages = [search.Stage([space.Param("max_depth", "int", 1, 4)], 3, "distinct"),
               search.Stage([], 2, "grid", grid={"alpha": [0.0, 500.0], "lambda": [1.0]}),
               search.Stage([space.Param("subsample", "float", 0.5, 0.9)], 2, "random")]
-    result = search.grouped_search(spark, data, stages, 3, {"rounds": 3, "eta": 0.5})
+    result = search.grouped_search(spark, search.cv_objective(data, 3), stages, {"rounds": 3, "eta": 0.5})
     log = result.log.toPandas().sort_values("iter")
     assert list(log["iter"]) == list(range(1, 8)) and list(log["stage"]) == [1] * 3 + [2] * 2 + [3] * 2
     depth = result.stage_winners[0]["max_depth"]

@@ -189,6 +189,8 @@ def margin_rows(fits: list[Fit], skip: int):
 
     def run(batches):
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             _, _, _, bins = batch_arrays(batch)
             start = start_margins(batch, len(fits))
             out = np.stack([f.margins(bins, None if start is None else start[:, i], skip)
@@ -208,6 +210,8 @@ def score_rows(fits: list[Fit], classes: int, centre: float):
     def run(batches):
         sums: dict = {}
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             _, fold, label, bins = batch_arrays(batch)
             for i, fit in enumerate(fits):
                 margins = np.tile(fit.base, (len(bins), 1))
@@ -252,6 +256,8 @@ def bin_rows(edges: list[np.ndarray]):
 
     def run(batches):
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             bins = bin_values(feature_matrix(batch), edges)
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * bins.shape[1]
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins.ravel()))
@@ -266,6 +272,8 @@ def predict_rows(fit: Fit, edges: list[np.ndarray], classes: int):
 
     def run(batches):
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             margins = fit.margins(bin_values(feature_matrix(batch), edges))
             out = margins.argmax(axis=1).astype(np.float64) if classes else margins[:, 0]
             names = [n for n in batch.schema.names if n != "features"]

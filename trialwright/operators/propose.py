@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A dense solve per slice: more distinct configurations than this is refused, not thinned out.
 MAX_HISTORY = 5_000
+BLOCK = 1_000
 
 
 def config_history(log: DataFrame, params: Sequence[str], keys: Sequence[str] = ("run",)) -> DataFrame:
@@ -42,16 +43,21 @@ def _check_size(history: DataFrame, keys: Sequence[str]) -> None:
 
 
 def _score_slices(history: DataFrame, candidates: DataFrame, keys: Sequence[str], slices: int, name: str,
-                  score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> DataFrame:
+                  model: Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]) -> DataFrame:
+    """Fit ``model`` to each run's history once per slice and apply it to the slice's candidates, a block at a time."""
     keys = list(keys)
     _check_size(history, keys)
     left = candidates.withColumn("__slice", F.pmod(hash52(*keys, "trial_id"), F.lit(slices)).cast("int"))
     right = history.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    columns = candidates.columns
+    columns, block = candidates.columns, BLOCK
 
     def run(cand: pd.DataFrame, hist: pd.DataFrame) -> pd.DataFrame:
         out = cand[columns].copy()
-        out[name] = score(cand, hist) if len(cand) else np.empty(0)
+        if len(cand):
+            score = model(hist)
+            out[name] = np.concatenate([score(cand.iloc[i:i + block]) for i in range(0, len(cand), block)])
+        else:
+            out[name] = np.empty(0)
         return out
 
     schema = candidates.select("*", F.lit(0.0).alias(name)).schema
@@ -66,16 +72,20 @@ def _unit_cube(frame: pd.DataFrame, bounds: list[tuple[str, float, float]]) -> n
     return np.stack([(frame[n].to_numpy(dtype=float) - lo) / ((hi - lo) or 1.0) for n, lo, hi in bounds], axis=1)
 
 
-def gaussian_posterior(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, scale: float = 0.3,
-                       noise: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mean and standard deviation under an RBF kernel; noise shrinks with the weight."""
+def gaussian_posterior(x: np.ndarray, y: np.ndarray, weight: np.ndarray, scale: float = 0.3,
+                       noise: float = 1e-3) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Posterior mean and standard deviation as a function; RBF kernel, noise shrinks with the weight."""
     kernel = lambda a, b: np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) / (2 * scale**2))
-    mean, spread = np.average(y, weights=weight), y.std() or 1.0
+    mean, deviation = np.average(y, weights=weight), y.std() or 1.0
     low = np.linalg.cholesky(kernel(x, x) + np.diag(noise / weight + 1e-9))
-    alpha = np.linalg.solve(low.T, np.linalg.solve(low, (y - mean) / spread))
-    cross = kernel(at, x)
-    v = np.linalg.solve(low, cross.T)
-    return mean + spread * (cross @ alpha), spread * np.sqrt(np.maximum(1 - (v * v).sum(axis=0), 1e-12))
+    alpha = np.linalg.solve(low.T, np.linalg.solve(low, (y - mean) / deviation))
+
+    def at(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cross = kernel(points, x)
+        v = np.linalg.solve(low, cross.T)
+        return mean + deviation * (cross @ alpha), deviation * np.sqrt(np.maximum(1 - (v * v).sum(axis=0), 1e-12))
+
+    return at
 
 
 def propose_ei(history: DataFrame, candidates: DataFrame, space: Sequence[Param], keys: Sequence[str] = ("run",),
@@ -86,16 +96,21 @@ def propose_ei(history: DataFrame, candidates: DataFrame, space: Sequence[Param]
     """
     bounds = _bounds(space)
 
-    def score(cand: pd.DataFrame, hist: pd.DataFrame) -> np.ndarray:
+    def model(hist: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
         if not len(hist):
-            return np.ones(len(cand))
+            return lambda cand: np.ones(len(cand))
         y, w = hist["score"].to_numpy(dtype=float), hist["weight"].to_numpy(dtype=float)
-        mu, sd = gaussian_posterior(_unit_cube(hist, bounds), y, w, _unit_cube(cand, bounds))
-        z = (mu - y.max() - jitter) / sd
-        cdf = 0.5 * (1 + np.array([math.erf(v / math.sqrt(2)) for v in z]))
-        return (mu - y.max() - jitter) * cdf + sd * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        posterior = gaussian_posterior(_unit_cube(hist, bounds), y, w)
+
+        def improvement(cand: pd.DataFrame) -> np.ndarray:
+            mu, sd = posterior(_unit_cube(cand, bounds))
+            z = (mu - y.max() - jitter) / sd
+            cdf = 0.5 * (1 + np.array([math.erf(v / math.sqrt(2)) for v in z]))
+            return (mu - y.max() - jitter) * cdf + sd * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+
+        return improvement
 
-    return _score_slices(history, candidates, keys, slices, "ei", score)
+    return _score_slices(history, candidates, keys, slices, "ei", model)
 
 
 def propose_tpe(history: DataFrame, candidates: DataFrame, space: Sequence[Param], keys: Sequence[str] = ("run",),
@@ -109,21 +124,22 @@ def propose_tpe(history: DataFrame, candidates: DataFrame, space: Sequence[Param
     names = [p.name for p in space]
 
     def density(x: np.ndarray, w: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.ones(len(at))
         d2 = ((at[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
         kernels = np.exp(-d2 / (2 * bandwidth**2)) / (bandwidth * math.sqrt(2 * math.pi)) ** x.shape[1]
         return (1 + kernels @ w) / (1 + w.sum())
 
-    def score(cand: pd.DataFrame, hist: pd.DataFrame) -> np.ndarray:
-        if not len(hist):
-            return np.zeros(len(cand))
+    def model(hist: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
         ranked = hist.sort_values(["score", *names], ascending=[False] + [True] * len(names))
         good = math.ceil(gamma * len(ranked))
-        x, w, at = _unit_cube(ranked, bounds), ranked["weight"].to_numpy(dtype=float), _unit_cube(cand, bounds)
-        return np.log(density(x[:good], w[:good], at)) - np.log(density(x[good:], w[good:], at))
+        x, w = _unit_cube(ranked, bounds), ranked["weight"].to_numpy(dtype=float)
+
+        def ratio(cand: pd.DataFrame) -> np.ndarray:
+            at = _unit_cube(cand, bounds)
+            return np.log(density(x[:good], w[:good], at)) - np.log(density(x[good:], w[good:], at))
+
+        return ratio
 
-    return _score_slices(history, candidates, keys, slices, "log_ratio", score)
+    return _score_slices(history, candidates, keys, slices, "log_ratio", model)
 
 
 def top_proposals(scored: DataFrame, value: str, batch: int, keys: Sequence[str] = ("run",)) -> DataFrame:

@@ -66,8 +66,9 @@ def cross_validate(data: Binned, candidates: DataFrame, k: int, frozen: Mapping[
     return log, metrics
 
 
-def cv_objective(data: Binned, k: int, fixed: Mapping[str, float] | None = None, seed: int = 0) -> Objective:
-    return lambda candidates: cross_validate(data, candidates, k, fixed, seed)[0]
+def cv_objective(data: Binned, k: int, seed: int = 0) -> Callable[[Mapping[str, float]], Objective]:
+    """Objective factory of the booster: frozen parameters to cross-validated scores of candidates."""
+    return lambda frozen: lambda candidates: cross_validate(data, candidates, k, frozen, seed)[0]
 
 
 def skip_finished(candidates: DataFrame, finished: DataFrame | None, params: Sequence[str]) -> DataFrame:
@@ -172,17 +173,20 @@ def winner(log: DataFrame, params: Sequence[str]) -> tuple[dict[str, float], flo
     return ({}, None) if row is None else ({p: row[p] for p in params}, row["score"])
 
 
-def grouped_search(spark: SparkSession, data: Binned, stages: Sequence[Stage], k: int = 3,
+def grouped_search(spark: SparkSession, objective: Callable[[Mapping[str, float]], Objective], stages: Sequence[Stage],
                    fixed: Mapping[str, float] | None = None, seed: int = 0,
                    on_batch: Callable[[DataFrame, int], None] | None = None) -> SearchResult:
-    """Tune one group of parameters after another; each stage starts from the winners of those before."""
+    """Tune one group of parameters after another; each stage starts from the winners of those before.
+
+    ``objective`` makes a stage's objective from the parameters frozen so far (``cv_objective`` for the booster).
+    """
     start = time.perf_counter()
     frozen: dict[str, float] = dict(fixed or {})
     logs, winners, offset = [], [], 0
     best: tuple[dict[str, float], float | None] = ({}, None)
     for i, stage in enumerate(stages, 1):
         names = [p.name for p in stage.space] or list(stage.grid or {})
-        log = search_stage(spark, cv_objective(data, k, frozen, seed), stage, seed + i, on_batch=on_batch)
+        log = search_stage(spark, objective(dict(frozen)), stage, seed + i, on_batch=on_batch)
         values, score = winner(log, names)
         frozen.update(values)
         winners.append(values)

@@ -149,11 +149,53 @@ def grouped_search(spark, sf):
         search.Stage([], 4, "grid", grid={"alpha": [0.0, 1000.0], "lambda": [0.0, 1.0]}),
         search.Stage(s[4:], 4, "ei", initial=2, batch=2, pool=64, epsilon=0.1, max_no_improve=3),
     ]
-    result = search.grouped_search(spark, binned_lines(spark, sf), stages, FOLDS, {"rounds": 2, "eta": 0.5})
+    result = search.grouped_search(spark, search.cv_objective(binned_lines(spark, sf), FOLDS), stages, {"rounds": 2, "eta": 0.5})
     return rounded(result.log.select("stage", "iter", "max_depth", "min_child_weight", "alpha", "lambda", "subsample",
                                      "colsample_bytree", "score"), "score")
 
 
+# Staged search over a table objective, so that SQL can follow it: a line number is tuned by the mean quantity
+# of its line items, then a supplier group with the line number frozen.
+
+_SEARCH_TABLE = """SELECT l_linenumber AS line, l_suppkey % 10 AS grp, l_quantity AS q FROM lineitem"""
+
+
+@query("q_search_stage", f"""WITH x AS ({_SEARCH_TABLE}), s AS (SELECT line, avg(q) AS score FROM x GROUP BY line), c AS (
+    SELECT range AS trial_id, CAST(1 + floor({uniform_sql('range', "'line'", seed=4)} * 7) AS DOUBLE) AS line FROM range(0, 30))
+    SELECT trial_id + 1 AS iter, c.line, round(score, 6) AS score FROM c JOIN s ON c.line = s.line""")
+def _(spark, sf):
+    means = views.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("double").alias("line")).agg(F.avg("l_quantity").alias("score"))
+    stage = search.Stage([space.Param("line", "int", 1, 8)], 30, "random", batch=15)
+    log = search.search_stage(spark, lambda c: c.join(means, "line"), stage, 4)
+    return rounded(log.select("iter", "line", "score"), "score")
+
+
+@query("q_grouped_objective", f"""WITH x AS ({_SEARCH_TABLE}), one AS (
+    SELECT line, avg(q) AS score, row_number() OVER (ORDER BY avg(q) DESC, line) AS k FROM x GROUP BY line), two AS (
+    SELECT x.grp, avg(q) AS score FROM x JOIN one ON x.line = one.line AND one.k = 1 GROUP BY x.grp)
+    SELECT 1 AS stage, CAST(line AS BIGINT) AS iter, CAST(line AS DOUBLE) AS line, NULL::DOUBLE AS grp, round(score, 6) AS score FROM one
+    UNION ALL SELECT 2, CAST(two.grp + 8 AS BIGINT), CAST(one.line AS DOUBLE), CAST(two.grp AS DOUBLE), round(two.score, 6)
+    FROM two, one WHERE one.k = 1""")
+def _(spark, sf):
+    li = views.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("double").alias("line"), (F.col("l_suppkey") % 10).cast("double").alias("grp"), "l_quantity")
+
+    def objective(frozen):
+        """Mean quantity of the line items a candidate and the frozen parameters pick."""
+        kept = li.where(F.col("line") == frozen["line"]) if frozen else li
+
+        def score(candidates):
+            names = [c for c in candidates.columns if c != "trial_id"]
+            out = candidates.join(kept.groupBy(*names).agg(F.avg("l_quantity").alias("score")), names)
+            return out.withColumns({k: F.lit(v) for k, v in frozen.items()})
+
+        return score
+
+    stages = [search.Stage([], 7, "grid", grid={"line": range(1, 8)}), search.Stage([], 10, "grid", grid={"grp": range(10)})]
+    log = search.grouped_search(spark, objective, stages).log
+    return rounded(log.select("stage", "iter", "line", "grp", "score"), "score")
+
+
 # Proposals.  A run is an event type, a configuration its k.
 
 K_SPACE = [space.Param("k", "float", 0.0, 100.0)]

@@ -10,7 +10,7 @@ from trialwright.plans import views
 from trialwright.queries.registry import EV, LI, OD, query, rounded
 from trialwright.queries.stops import _stop_sql
 from trialwright.session import scratch_path
-from trialwright.sources import records, trials
+from trialwright.sources import features, records, trials
 from trialwright.streaming import steps
 
 
@@ -79,3 +79,46 @@ def _(spark, sf):
         F.col("experiment").alias("method"), F.col("score_mean").alias("mean"), F.col("score_std").alias("std"))
     records.write_summary(summary, path)
     return rounded(records.read_summary(spark, path).drop("stop"), "mean", "std")
+
+
+@query("q_run_from_filename", f"""WITH {OD} SELECT DISTINCT run, run % 4 * 25 AS stop FROM od""")
+def _(spark, sf):
+    """Run and stop value out of log names with and without a data-set suffix."""
+    runs = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    name = F.concat(F.lit("GR_S_2_and_3_groups_with_"), (F.col("id") % 4 * 25).cast("string"), F.lit("_"), F.col("id").cast("string"),
+                    F.when(F.col("id") % 2 == 0, "_house_prices.csv").otherwise(""))
+    return runs.select(trials.run_from_filename(name).alias("run"), trials.stop_from_filename(name).alias("stop"))
+
+
+@query("q_feature_files", """SELECT kind, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 2) AS tax
+    FROM lineitem, (SELECT unnest(['header', 'headerless', 'typed']) AS kind) GROUP BY kind""")
+def _(spark, sf):
+    """Feature tables as CSV with a header, by position, and with explicit types."""
+    li = views.table(spark, sf, "lineitem").select("l_quantity", "l_tax", "l_returnflag")
+    numeric = li.select("l_quantity", "l_tax")
+    paths = {k: scratch_path(spark, k) for k in ("header", "headerless", "typed")}
+    numeric.write.csv(paths["header"], header=True)
+    numeric.write.csv(paths["headerless"])
+    li.write.csv(paths["typed"])
+    read = {"header": features.read_features(spark, paths["header"], numeric.schema),
+            "headerless": features.read_headerless(spark, paths["headerless"], numeric.columns),
+            "typed": features.read_typed(spark, paths["typed"], li.schema).drop("l_returnflag")}
+    out = None
+    for kind, df in read.items():
+        part = df.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.sum("l_tax").alias("tax")).select(
+            F.lit(kind).alias("kind"), "n", "quantity", "tax")
+        out = part if out is None else out.unionAll(part)
+    return rounded(out, "quantity", "tax", places=2)
+
+
+@query("q_event_log_counts", "SELECT event_type AS run, count(*) AS steps, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def _(spark, sf):
+    """Steps counted per log file, one folder of files per event type."""
+    path = scratch_path(spark, "steps")
+    ev = views.table(spark, sf, "events").select("event_type", F.col("event_id").alias("iter"), F.col("value").alias("score"),
+                                                  F.col("event_type").alias("run"))
+    ev.write.partitionBy("event_type").json(path)
+    files = records.count_events(spark, f"{path}/*").agg(F.sum("steps").alias("all_steps"))
+    back = records.read_event_log(spark, f"{path}/*").groupBy("run").agg(F.count("*").alias("steps"), F.sum("score").alias("total"))
+    whole = files.select("all_steps").scalar()
+    return rounded(back.where(whole == ev.select(F.count("*").alias("n")).scalar()), "total", places=4)
