@@ -24,18 +24,19 @@ def binned_lines(spark, sf, features=None, binning="quantile", bins=32):
 STUMPS = {0: (0.0, 1.0), 1: (5e7, 0.0), 2: (0.0, 20000.0)}
 
 
-def _stump_sql(bins: int = 16) -> str:
+def _stump_sql(final: str, held_from: int = 0, held_to: int = FOLDS, bins: int = 16) -> str:
+    """Common table expressions that fit the stumps of STUMPS for every held-out fold, then ``final``."""
     features = ", ".join(NUMERIC)
     long = " UNION ALL ".join(f"SELECT fold, y, {i} AS feature, {c} AS v FROM x" for i, c in enumerate(NUMERIC))
     trials = " UNION ALL ".join(f"SELECT {t} AS trial_id, {a}::DOUBLE AS alpha, {lam}::DOUBLE AS lam" for t, (a, lam) in STUMPS.items())
     shrink = lambda g: f"sign({g}) * greatest(abs({g}) - alpha, 0)"
     above = " + ".join(f"CAST(lo + (hi - lo) * {i} / {bins} < v AS INTEGER)" for i in range(1, bins))
     routed = " ".join(f"WHEN {i} THEN x.{c}" for i, c in enumerate(NUMERIC))
-    return f"""WITH x AS (SELECT CAST({hash_sql(*KEY_SQL)} % {FOLDS} AS INTEGER) AS fold, {features}, {LABEL_SQL} AS y FROM lineitem),
+    return f"""WITH x AS (SELECT CAST({hash_sql(*KEY_SQL)} % {FOLDS} AS INTEGER) AS fold, l_returnflag, {features}, {LABEL_SQL} AS y FROM lineitem),
     unit AS (SELECT 1048576 / (max(y) - min(y)) AS unit, (min(y) + max(y)) / 2 AS centre FROM x),
-    pairs AS (SELECT * FROM ({trials}), (SELECT CAST(range AS INTEGER) AS held FROM range(0, {FOLDS}))),
+    pairs AS (SELECT * FROM ({trials}), (SELECT CAST(range AS INTEGER) AS held FROM range({held_from}, {held_to}))),
     bases AS (SELECT held, sum(CAST(round_even(y * unit, 0) AS BIGINT)) / max(unit) / count(*) AS base
-              FROM x, unit, (SELECT CAST(range AS INTEGER) AS held FROM range(0, {FOLDS})) h WHERE x.fold <> h.held GROUP BY held),
+              FROM x, unit, (SELECT CAST(range AS INTEGER) AS held FROM range({held_from}, {held_to})) h WHERE x.fold <> h.held GROUP BY held),
     long AS ({long}), ends AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY feature),
     edges AS (SELECT feature, range AS i, lo + (hi - lo) * range / {bins} AS edge FROM ends, range(1, {bins})),
     binned AS (SELECT fold, y, feature, 1 + {above} AS bin FROM long JOIN ends USING (feature)),
@@ -51,20 +52,46 @@ def _stump_sql(bins: int = 16) -> str:
              WHERE k = 1),
     trees AS (SELECT trial_id, best.held, base, best.feature, best.bin, edge, -0.3 * sl / (hl + lam) AS wl, -0.3 * sr / (ht - hl + lam) AS wr
               FROM best JOIN bases USING (held) JOIN edges e ON e.feature = best.feature AND e.i = best.bin),
-    scored AS (SELECT trial_id, held AS fold, x.fold = held AS isTest, y,
+    scored AS (SELECT trial_id, held AS fold, x.fold = held AS isTest, l_returnflag, y,
                       base + CASE WHEN (CASE trees.feature {routed} END) <= edge THEN wl ELSE wr END AS pred FROM x, trees)
-    SELECT CAST(trial_id AS BIGINT) AS trial_id, fold, isTest, round(1 - sum((y - pred) ** 2) / (var_pop(y) * count(*)), 6) AS r2
-    FROM scored GROUP BY ALL"""
+    {final}"""
 
 
-@query("q_boost_stump_cv", _stump_sql())
+_R2 = "1 - sum((y - pred) ** 2) / (var_pop(y) * count(*))"
+_STUMP = {"max_depth": 1, "rounds": 1, "eta": 0.3}
+
+
+@query("q_boost_stump_cv", _stump_sql(f"""SELECT CAST(trial_id AS BIGINT) AS trial_id, fold, isTest, round({_R2}, 6) AS r2
+    FROM scored GROUP BY ALL"""))
 def _(spark, sf):
     data = binned_lines(spark, sf, NUMERIC, "width", 16)
-    params = {t: {"max_depth": 1, "rounds": 1, "eta": 0.3, "alpha": a, "lambda": lam} for t, (a, lam) in STUMPS.items()}
+    params = {t: {**_STUMP, "alpha": a, "lambda": lam} for t, (a, lam) in STUMPS.items()}
     scores = boost.fit_boosted(data, params, range(FOLDS)).scores()
     return scores.where("metric = 'r2'").select("trial_id", "fold", "isTest", F.round("value", 6).alias("r2"))
 
 
+@query("q_cross_validate", _stump_sql(f""", r AS (SELECT trial_id, fold, {_R2} AS r2 FROM scored WHERE isTest GROUP BY ALL),
+    m AS (SELECT trial_id, avg(r2) AS score, stddev_pop(r2) AS std, list(r2 ORDER BY fold) AS splits FROM r GROUP BY trial_id)
+    SELECT CAST(trial_id AS BIGINT) AS trial_id, alpha, lam AS "lambda", round(score, 6) AS score, round(std, 6) AS std,
+           round(splits[2], 6) AS split1, rank() OVER (ORDER BY score DESC) AS rank
+    FROM m JOIN (SELECT DISTINCT trial_id, alpha, lam FROM pairs) USING (trial_id)"""))
+def _(spark, sf):
+    """Trial log of candidates (alpha, lambda) with the other parameters frozen."""
+    rows = [STUMPS[t] for t in sorted(STUMPS)]
+    log, _ = search.cross_validate(binned_lines(spark, sf, NUMERIC, "width", 16), _candidates(spark, rows, ["alpha", "lambda"]), FOLDS, _STUMP)
+    return rounded(log.select("trial_id", "alpha", "lambda", "score", "std", F.col("splits")[1].alias("split1"), "rank"), "score", "std", "split1")
+
+
+@query("q_predict", _stump_sql(f"""SELECT CAST(l_returnflag = 'A' AS INTEGER) AS l_returnflag_A, count(*) AS n,
+    round(avg(pred), 4) AS mean, round({_R2}, 6) AS r2 FROM scored WHERE trial_id = 0 GROUP BY ALL""", -1, 0))
+def _(spark, sf):
+    """Predictions of a model fitted on all rows, summarised by flag."""
+    model = boost.fit_boosted(binned_lines(spark, sf, NUMERIC, "width", 16), {0: {**_STUMP, "alpha": 0.0, "lambda": 1.0}})
+    out = model.predict(views.lines_features(spark, sf)).groupBy("l_returnflag_A").agg(
+        F.count("*").alias("n"), F.round(F.avg("prediction"), 4).alias("mean"), evaluate.r2().alias("r2"))
+    return rounded(out, "r2")
+
+
 def _candidates(spark, rows, names):
     return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], f"trial_id long, {', '.join(n + ' double' for n in names)}")
 
@@ -93,16 +120,6 @@ def _(spark, sf):
     return rounded(log.select("trial_id", "max_depth", "score", "std"), "score", "std")
 
 
-@query("q_boost_predict")
-def _(spark, sf):
-    """Predictions of a model fitted on all rows, summarised by flag."""
-    data = binned_lines(spark, sf, NUMERIC)
-    model = boost.fit_boosted(data, {0: {"max_depth": 3, "rounds": 3, "eta": 0.5}})
-    out = model.predict(views.lines_features(spark, sf))
-    return rounded(out.groupBy("l_returnflag_A").agg(
-        F.count("*").alias("rows"), F.avg("prediction").alias("mean"), evaluate.r2().alias("r2")), "mean", "r2")
-
-
 @query("q_mllib_regressor")
 def _(spark, sf):
     data = prep.assemble_features(views.lines_features(spark, sf).select(*NUMERIC, "label", *views.LINE_KEYS), NUMERIC, keep=views.LINE_KEYS)
