@@ -50,10 +50,13 @@ def _stump_sql(final: str, held_from: int = 0, held_to: int = FOLDS, bins: int =
           WHERE hl >= 1 AND ht - hl >= 1),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, held ORDER BY gain DESC, feature, bin) AS k FROM q WHERE gain > 0)
              WHERE k = 1),
-    trees AS (SELECT trial_id, best.held, base, best.feature, best.bin, edge, -0.3 * sl / (hl + lam) AS wl, -0.3 * sr / (ht - hl + lam) AS wr
-              FROM best JOIN bases USING (held) JOIN edges e ON e.feature = best.feature AND e.i = best.bin),
+    trees AS (SELECT pairs.trial_id, pairs.held, base, best.feature, best.bin, edge, -0.3 * sl / (hl + best.lam) AS wl,
+                     -0.3 * sr / (ht - hl + best.lam) AS wr
+              FROM pairs JOIN bases ON bases.held = pairs.held
+                   LEFT JOIN best ON best.held = pairs.held AND best.trial_id = pairs.trial_id
+                   LEFT JOIN edges e ON e.feature = best.feature AND e.i = best.bin),
     scored AS (SELECT trial_id, held AS fold, x.fold = held AS isTest, l_returnflag, y,
-                      base + CASE WHEN (CASE trees.feature {routed} END) <= edge THEN wl ELSE wr END AS pred FROM x, trees)
+                      base + CASE WHEN trees.feature IS NULL THEN 0 WHEN (CASE trees.feature {routed} END) <= edge THEN wl ELSE wr END AS pred FROM x, trees)
     {final}"""
 
 
