@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialwright.operators import curves, space, stop, trials
+from trialwright.operators.scan import longest_run, number_rows
 
 PLATEAU = [0.1, 0.3, 0.2, 0.2, 0.4, 0.1]
 
@@ -56,6 +57,17 @@ def test_split_run_stops_at_the_same_place(log):
         assert sorted(map(tuple, stop.plateau_stop(df, n, task_rows=9).collect())) == whole
 
 
+def test_window_cut_equals_joined_cut(log, rows):
+    plain = log({1: [float(i // 7) for i in range(60)], 2: PLATEAU, 3: [None, 1.0, None, 1.0, 2.0, 2.0]})
+    known = number_rows(plain, ["experiment", "run"], ["iter"])
+    assert longest_run(known, "iter", ["experiment", "run"]) == 60
+    for n in (2, 3, 7, 9):
+        got = sorted(map(str, stop.stop_at_plateau(known, n).select("run", "iter", "best", "pos").collect()))
+        assert got == sorted(map(str, stop.stop_at_plateau(plain, n).select("run", "iter", "best", "pos").collect()))
+    with pytest.raises(Exception, match="no plateau"):
+        stop.stop_at_plateau(known, 9, on_missing="error").collect()
+
+
 def test_stop_within_bounds(log):
     df = log({1: [0.1, 0.9, 0.2, 0.3, 0.8, 0.1]})
     row = stop.global_best_stop(df, 10, 3, 5).first()

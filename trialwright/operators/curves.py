@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trialwright.operators.scan import prefix_scan
 from trialwright.operators.trials import RUN, best_score_per_run, running_best
-from trialwright.session import TASK_ROWS
+from trialwright.session import TASK_ROWS, materialize
 
 Z_95 = 1.96
 T_95_10_RUNS = 2.262
@@ -67,13 +67,14 @@ def extended_curve(log: DataFrame, z: float = Z_95, n: int | str = "count", by:
     """The learning curve with every stopped run held at its last best, without writing the padding.
 
     At iteration i the finished runs contribute a running total over runs that ended before i.  Scores
-    are centred first, which keeps the sums of squares well conditioned.
+    are centred first, which keeps the sums of squares well conditioned.  The runs' ends (one row per
+    run) are written once, as they serve twice.
     """
     by = list(by)
-    centre = log.select(F.avg("score").alias("c")).scalar()
+    ends = materialize(log.groupBy(*by, run).agg(F.max("iter").alias("last"), F.max("score").alias("best")), "ends")
+    centre = ends.select(F.avg("best").alias("c")).scalar()
     scan = running_best(log, [*by, run], task_rows).withColumn("c", centre)
     live = scan.groupBy(*by, "iter").agg(*_moments(F.col("best") - F.col("c")), F.max("c").alias("c"))
-    ends = log.groupBy(*by, run).agg(F.max("iter").alias("last"), F.max("score").alias("best"))
     ended = ends.withColumn("c", centre).groupBy(*by, (F.col("last") + 1).alias("iter")).agg(
         *[m.alias("e" + k) for k, m in zip("n12", _moments(F.col("best") - F.col("c")))])
     both = prefix_scan(live.join(ended, [*by, "iter"], "full"), by,

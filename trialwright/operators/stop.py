@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialwright.operators.scan import join_runs, longest_run, number_rows
@@ -34,9 +35,23 @@ def plateau_stop(log: DataFrame, n: int, keys: Sequence[str] = RUN, on_missing:
 
 def stop_at_plateau(log: DataFrame, n: int, keys: Sequence[str] = RUN, on_missing: str = "keep",
                     task_rows: int = TASK_ROWS) -> DataFrame:
-    """The log up to each run's plateau stop, with running best and position."""
-    stops = plateau_stop(log, n, keys, on_missing, task_rows).select(*keys, "stop_pos")
+    """The log up to each run's plateau stop, with running best and position.
+
+    Runs known to fit a task are cut by windows alone, over the one shuffle the scan needs; otherwise the
+    stops are aggregated and joined back.
+    """
     scan = scored_scan(log, keys, task_rows)
+    bound = longest_run(log, "iter", keys)
+    if bound is not None and bound <= task_rows:
+        plateau, run = W.partitionBy(*keys, "best"), W.partitionBy(*keys)
+        counted = scan.withColumns({
+            "__length": F.count("score").over(plateau),
+            "__first": F.min(F.when(F.col("score").isNotNull(), F.col("pos"))).over(plateau)})
+        reached = F.min(F.when(F.col("__length") >= n, F.col("__first"))).over(run) + (n - 1)
+        cut = counted.withColumn("__stop", reached)
+        missing = F.col("pos") if on_missing == "keep" else F.raise_error(F.lit(f"no plateau of {n} trials")).cast("bigint")
+        return cut.where(F.col("pos") <= F.coalesce("__stop", missing)).select(scan.columns)
+    stops = plateau_stop(log, n, keys, on_missing, task_rows).select(*keys, "stop_pos")
     return join_runs(scan, stops, keys, task_rows=task_rows).where(
         F.col("pos") <= F.coalesce("stop_pos", "pos")).select(scan.columns)
 

@@ -83,10 +83,13 @@ def plateau_lengths(log: DataFrame, keys: Sequence[str] = RUN, task_rows: int =
 def longest_plateau(log: DataFrame, keys: Sequence[str] = RUN, per: Sequence[str] = ()) -> DataFrame:
     """Longest plateau that still ended in an improvement, at least 1."""
     plateaus = plateau_lengths(log, keys)
-    final = log.groupBy(*keys).agg(F.max("score").alias("__final"))
+    bound = longest_run(log, "iter", keys)
+    if bound is not None and bound <= TASK_ROWS:
+        plateaus = plateaus.withColumn("__final", F.max("best").over(W.partitionBy(*keys)))
+    else:
+        plateaus = plateaus.join(log.groupBy(*keys).agg(F.max("score").alias("__final")), list(keys))
     ended = F.when(F.col("best") < F.col("__final"), F.col("length"))
-    return plateaus.join(final, list(keys)).groupBy(*per).agg(
-        F.greatest(F.max(ended), F.lit(1)).alias("longest"))
+    return plateaus.groupBy(*per).agg(F.greatest(F.max(ended), F.lit(1)).alias("longest"))
 
 
 # Best trials
