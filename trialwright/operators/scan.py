@@ -18,6 +18,9 @@ from trialwright.session import TASK_ROWS, materialize
 # Column metadata that records the measured length of the longest run, and what a run is.
 LONGEST, LONGEST_KEYS = "longest_run", "longest_run_keys"
 
+# ``monotonically_increasing_id`` holds the partition above this many bits of row position.
+PART_BITS = 33
+
 _FUNCTIONS = {"max": F.max, "sum": F.sum, "count": F.count}
 
 
@@ -30,9 +33,10 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, name: str =
     """Add 1..n per group in the given total order.
 
     Group sizes are measured first (one column, map-side combined) unless a bound is known.  While the largest fits a task this
-    is a plain ``row_number``.  Otherwise rows are range-partitioned over (keys, order), which divides a
-    large group between tasks; each part is numbered alone and shifted by the sizes of the parts before.
-    The placed rows are written once, so part numbers cannot change when a task is retried.
+    is a plain ``row_number``.  Otherwise rows are range-partitioned and sorted over (keys, order), which
+    divides a large group between tasks, and written with their place.  A row's number is its distance
+    from its group's start in the part, plus the group's rows in the parts before: one small aggregate
+    joined back.  Places are written, so they cannot change when a task is retried.
     """
     keys, order = list(keys), _columns(order)
     longest, total = at_most, at_most
@@ -46,16 +50,16 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence, name: str =
             *[c for c in df.columns if c != name], bounded("__n", name, int(longest), keys))
     shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(shuffle_parts, math.ceil(2 * total / task_rows))
-    placed = materialize(
-        df.repartitionByRange(parts, *_columns(keys), *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    by = [*_columns(keys), *order]
+    placed = materialize(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(
+        "__at", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__at", PART_BITS))
     before = W.partitionBy(*(keys or [F.lit(1)])).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy(*keys, "__part").count().select(
-        *keys, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    local = F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order))
-    numbered = placed.withColumn("__local", local)
-    same = [numbered[k].eqNullSafe(offsets[k]) for k in keys] + [numbered["__part"] == offsets["__part"]]
-    return numbered.join(offsets, same).select(
-        *[numbered[c] for c in df.columns if c != name], (F.col("__local") + F.col("__offset")).alias(name))
+    starts = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__count"), F.min("__at").alias("__start"))
+    offsets = starts.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__part").alias("__in"), "__start", F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__offset"))
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys] + [F.col("__part") == F.col("__in")]
+    return placed.join(offsets, same).select(
+        *[c for c in df.columns if c != name],
+        (F.col("__at") - F.col("__start") + F.col("__offset") + 1).alias(name))
 
 
 def bounded(column: str, name: str, longest: int | None, keys: Sequence[str]) -> Column:
