@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import functools
+import sys
+import types
 
 import numpy as np
 
@@ -27,15 +28,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; n is rounded up so that few sizes are kept."""
-    return _powers(1 << max(10, (n - 1).bit_length()), base)[:n]
-
-
-@functools.lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the longest so far is kept while the worker lives."""
+    kept = worker_cache("powers")
+    if base not in kept or len(kept[base]) < n:
+        out = np.full(max(1024, n), base, np.uint64)
+        out[0] = 1
+        kept[base] = np.multiply.accumulate(out)
+    return kept[base][:n]
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, across tasks."""
+    home = sys.modules.setdefault("_trialwright_llm_cache", types.ModuleType("_trialwright_llm_cache"))
+    return home.__dict__.setdefault(name, {})
 
 
 def words(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
 """All queries of the document operators."""
 
-from trialwright.llm import lines  # noqa: F401
+from trialwright.llm import lines, quality  # noqa: F401
 from trialwright.llm.registry import ORACLES, QUERIES  # noqa: F401
