@@ -1,4 +1,4 @@
 """All queries of the document operators."""
 
-from trialwright.llm import lines, packing, quality, store  # noqa: F401
+from trialwright.llm import lines, packing, quality, simhash, store  # noqa: F401
 from trialwright.llm.registry import ORACLES, QUERIES  # noqa: F401
