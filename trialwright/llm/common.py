@@ -16,7 +16,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 # Bytes of text that a task turns into arrays at once.  Longer single texts are taken whole.
 CHUNK_BYTES = 2 << 20
 # Bytes of text in a block of documents that travels as one group.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:

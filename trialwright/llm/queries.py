@@ -1,4 +1,4 @@
 """All queries of the document operators."""
 
-from trialwright.llm import decontaminate, lines, packing, pii, quality, simhash, store, toxicity  # noqa: F401
+from trialwright.llm import decontaminate, lines, packing, phrases, pii, quality, simhash, store, toxicity  # noqa: F401
 from trialwright.llm.registry import ORACLES, QUERIES  # noqa: F401
