@@ -35,6 +35,18 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def text_key(docs: DataFrame) -> Column:
+    """Hash of the whole text; with the id it names a row, up to repeated rows."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are ("left_semi") or are not ("left_anti") among ``rows`` (doc_id, text_key)."""
+    named = rows.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__doc")) & (text_key(docs) == F.col("__key"))
+    return docs.join(named, same, how)
+
+
 def in_blocks(docs: DataFrame) -> DataFrame:
     """(block, doc_id, text): documents dealt into blocks of about ``BLOCK_BYTES`` by a hash of id and text.
 
