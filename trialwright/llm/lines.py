@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     lost = materialize(lost, "lost_lines").withColumnRenamed("doc_id", "__doc")
     runs.drop()
     named = docs.drop(into) if into in docs.columns else docs
-    joined = named.join(lost, F.col("doc_id").cast("bigint") == F.col("__doc"), "left")
+    # Never broadcast: how many documents lose lines grows with the table.
+    joined = named.join(lost.hint("merge"), F.col("doc_id").cast("bigint") == F.col("__doc"), "left")
     kept = F.when(F.col("__lost").isNull(), split).otherwise(
         F.filter(split, lambda x: ~F.coalesce(F.array_contains("__lost", key_hash(x, min_chars)), F.lit(False))))
     out = joined.withColumn("__kept", kept)
