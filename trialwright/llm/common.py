@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialwright.session import materialize  # noqa: F401
+from trialwright.session import scratch_path
 
 # White space between words: space and the five controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,6 +19,21 @@ CHUNK_BYTES = 2 << 20
 BLOCK_BYTES = 2 << 20
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: no lineage, and nothing to lose with an executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> None:
     """Settings for long texts: small Arrow batches, and shuffle files that go when their job has ended."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

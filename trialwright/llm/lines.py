@@ -41,22 +41,20 @@ class LineRuns:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "a").sortBy("a", "b").option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        # Dealt as the buckets are, so that a task writes one file for each of its buckets.
+        rows.repartition(self.buckets, "a", "b").write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", scratch_path(self.spark, name)).saveAsTable(name)
         return name
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: (a, b, doc_id), documents whose ids are all smaller than those of the batches before."""
-        own = batch.distinct().groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        if self.levels:
-            own = materialize(own, "batch_keys")
-            new = own
-            for run in self.runs():
-                new = new.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-            known = new.select("a", "b", F.lit(True).alias("new"))
-            own = own.join(known, ["a", "b"], "left").select("a", "b", "n_docs", F.when(F.col("new"), F.col("keeper")).alias("keeper"))
+        """``batch``: (a, b, doc_id), each once, of documents whose ids are all smaller than those of the batches before."""
+        own = batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        for i, run in enumerate(self.runs()):
+            # An anti-join that leaves the known keys in place, to be counted, but without a keeper.
+            known = run.select("a", "b", F.lit(True).alias(f"known_{i}")).hint("merge")
+            own = own.join(known, ["a", "b"], "left").withColumn("keeper", F.when(F.col(f"known_{i}").isNull(), F.col("keeper"))).drop(f"known_{i}")
         self._push(0, self._write(own))
 
     def _push(self, level: int, run: str) -> None:
@@ -87,7 +85,7 @@ class LineRuns:
         return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select("a", "b", "keeper")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, into: str = "lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, into: str = "lines") -> DataFrame:
     """Drop lines whose key stands in at least ``min_docs`` documents, except in the largest of their ids.
 
     Returns the columns of ``docs`` with ``text`` rewritten, and a struct ``into`` (n_lines, n_dropped); a column of that
@@ -106,7 +104,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         batch = batch - (F.col("doc_id") > cut).cast("int")
     lines = materialize(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(hashes).alias("h"))
-        .filter("doc_id IS NOT NULL").select("doc_id", "h.a", "h.b", batch.alias("batch")), "lines")
+        .filter("doc_id IS NOT NULL").select("doc_id", "h.a", "h.b", batch.alias("batch")).distinct(), "lines")
     runs = LineRuns(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i).select("a", "b", "doc_id"))
