@@ -68,10 +68,14 @@ class LineRuns:
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
+        # Outer merge joins follow the buckets; a union of bucketed tables need not keep them.
         rows = runs[0]
         for run in runs[1:]:
-            rows = rows.union(run)
-        return rows.groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+            other = run.withColumnsRenamed({"n_docs": "more_docs", "keeper": "other_keeper"}).hint("merge")
+            rows = rows.join(other, ["a", "b"], "full").select(
+                "a", "b", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more_docs", F.lit(0))).alias("n_docs"),
+                F.greatest("keeper", "other_keeper").alias("keeper"))
+        return rows
 
     def drop(self) -> None:
         """Forget the runs; nothing may read them later."""
