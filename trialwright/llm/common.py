@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from trialwright.session import scratch_path
 
@@ -50,6 +51,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def with_column(docs: DataFrame, run, added: StructField) -> DataFrame:
+    """``docs`` through ``run`` over Arrow batches, which adds a column; other columns may have any names, dots too."""
+    plain = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, added])).toDF(*docs.columns, added.name)
+
+
 def text_key(docs: DataFrame) -> Column:
     """Hash of the whole text; with the id it names a row, up to repeated rows."""
     return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from trialwright.llm.common import prepare, table
+from trialwright.llm.common import prepare, table, with_column
 from trialwright.llm.registry import query
 
 ROUNDS = 8
@@ -219,7 +219,6 @@ def pseudonymise(docs: DataFrame, key: bytes, into: str = "pii", back: bool = Fa
     """
     prepare(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
-    schema = StructType([*docs.schema.fields, StructField(into, StructType([StructField(k, LongType()) for k in KINDS]))])
     at = docs.columns.index("text")
 
     def run(batches):
@@ -236,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: bytes, into: str = "pii", back: bool = Fa
             struct = pa.StructArray.from_arrays([pa.array(counts[k], pa.int64()) for k in KINDS], KINDS)
             yield pa.RecordBatch.from_arrays([*columns, struct], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+    return with_column(docs, run, StructField(into, StructType([StructField(k, LongType()) for k in KINDS])))
 
 
 # The key of the registered query.  Pass your own, kept secret, for real data.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from trialwright.llm import kernels
-from trialwright.llm.common import chunks, materialize, prepare, table, utf8
+from trialwright.llm.common import chunks, materialize, prepare, table, utf8, with_column
 from trialwright.llm.registry import query
 
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_text_lines bigint"
@@ -85,7 +85,6 @@ def text_stats(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def with_stats(docs: DataFrame, into: str) -> DataFrame:
     """All columns of ``docs`` and a struct ``into`` of counts per document."""
-    schema = StructType([*docs.schema.fields, StructField(into, StructType.fromDDL(STATS))])
     at = docs.columns.index("text")
 
     def count(batches):
@@ -96,7 +95,7 @@ def with_stats(docs: DataFrame, into: str) -> DataFrame:
             struct = pa.StructArray.from_arrays([pa.array(c) for c in counts.T.copy()], NAMES)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, into])
 
-    return docs.mapInArrow(count, schema)
+    return with_column(docs, count, StructField(into, StructType.fromDDL(STATS)))
 
 
 def vector(n_words: Column, word_chars: Column, n_symbols: Column, n_dup_lines: Column, n_repeat_words: Column,

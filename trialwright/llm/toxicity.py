@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
 from trialwright.llm import kernels
-from trialwright.llm.common import chunks, crc32_of_id, materialize, prepare, table, utf8
+from trialwright.llm.common import chunks, crc32_of_id, materialize, prepare, table, utf8, with_column
 from trialwright.llm.registry import query
 
 HASH_BITS = 22
@@ -150,7 +150,6 @@ def score_texts(docs: DataFrame, machine: Machine, into: str = "score") -> DataF
     """
     prepare(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
-    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(
         (machine.number, machine.bias, machine.weights, machine.factors))  # 2 ** HASH_BITS row numbers and max_terms rows
 
@@ -162,7 +161,7 @@ def score_texts(docs: DataFrame, machine: Machine, into: str = "score") -> DataF
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+    return with_column(docs, run, StructField(into, DoubleType()))
 
 
 def held_out() -> Column:
