@@ -94,6 +94,36 @@ def test_online_stop(spark):
     assert log.count() == 7
 
 
+def test_nan_never_wins(spark):
+    bad = lambda c: _objective(c).withColumn("score", F.when(F.col("trial_id") == 2, F.lit(float("nan"))).otherwise(F.col("score")))
+    log = search.search_stage(spark, bad, search.Stage(SPACE, 8, "random", batch=4, max_no_improve=7))
+    best, score = search.winner(log, ["x"])
+    assert log.count() == 8 and log.where("isnan(score)").count() == 0 and log.where("score IS NULL").count() == 1
+    assert score == pytest.approx(log.agg(F.max("score")).first()[0]) and score <= 1.0
+
+
+def test_left_out_candidates_stay_as_trials(spark):
+    """An objective that scores even trials only, stopped and resumed: every id once, the budget counts all."""
+    even = lambda c: _objective(c.where("trial_id % 2 = 0"))
+    part = search.search_stage(spark, even, search.Stage(SPACE, 5, "tpe", initial=4, batch=3, pool=40), seed=1)
+    whole = search.search_stage(spark, even, search.Stage(SPACE, 12, "tpe", initial=4, batch=3, pool=40), seed=1, finished=part)
+    assert sorted(r[0] for r in whole.select("trial_id").collect()) == list(range(12))
+    assert whole.where("score IS NULL").count() == 6 and whole.where("iter <> trial_id + 1").count() == 0
+    # A log that lacks ids: new trials are numbered after the last, a grid's missing points come next.
+    gaps = part.where("trial_id <> 1")
+    more = search.search_stage(spark, even, search.Stage(SPACE, 6, "random"), finished=gaps)
+    assert sorted(r[0] for r in more.select("trial_id").collect()) == [0, 2, 3, 4, 5, 6]
+    grid = search.Stage([], 4, "grid", grid={"x": [0.1, 0.4, 0.7, 0.9]})
+    done = search.search_stage(spark, _objective, grid).where("trial_id <> 1")
+    assert search.search_stage(spark, _objective, grid, finished=done).count() == 4
+
+
+def test_discrete_points_are_proposed_once_and_all(spark):
+    points = [space.Param("x", "int", 0, 9, inclusive=True)]
+    log = search.search_stage(spark, _objective, search.Stage(points, 20, "tpe", initial=1, batch=4, pool=16))
+    assert sorted(r[0] for r in log.select("x").collect()) == [float(i) for i in range(10)]
+
+
 def test_grid_and_distinct_modes(spark):
     grid = search.search_stage(spark, _objective, search.Stage([], 4, "grid", grid={"x": [0.1, 0.4, 0.7, 0.9]}))
     assert search.winner(grid, ["x"]) == ({"x": 0.7}, 1.0)

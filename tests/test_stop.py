@@ -105,6 +105,50 @@ def test_extend_runs_and_its_curve(log, rows):
                 assert r[c] == pytest.approx(want[r["iter"]][c])
 
 
+def test_extend_runs_pads_within_a_method(spark, rows):
+    data = [("a", 1, i, 0.1 * i) for i in (1, 2)] + [("a", 2, i, 0.2 * i) for i in (1, 2, 3)] + [("b", 1, i, 0.3) for i in range(1, 7)]
+    df = spark.createDataFrame(data, "experiment string, run long, iter long, score double")
+    assert rows(curves.extend_runs(df), "experiment", "run", "iter", "score") == [("a", 1, 3, 0.2)]
+    assert curves.extend_runs(df, within=()).count() == 4 + 3
+    padded = trials.union_trials(df, curves.extend_runs(df))
+    want = {(r["experiment"], r["iter"]): r["mean"] for r in curves.learning_curve(padded).collect()}
+    got = {(r["experiment"], r["iter"]): r["mean"] for r in curves.extended_curve(df, task_rows=2).collect()}
+    assert got == pytest.approx(want)
+
+
+# Falling, unscored and level runs, one of them without a number.
+ODD_RUNS = {None: [float(60 - i) for i in range(40)], 1: [None] * 5, 2: [None, 0.5, 0.5, None, 0.5, 0.7, 0.7], 3: PLATEAU * 4, 4: [0.3] * 12}
+
+
+@pytest.mark.parametrize("operator", [
+    lambda df, **k: trials.running_best(df, **k).select("run", "iter", "best"),
+    lambda df, **k: trials.scored_scan(df, **k).select("run", "iter", "best", "pos"),
+    lambda df, **k: trials.plateau_lengths(df, **k).select("run", "best", "length", "first_pos", "first_iter"),
+    lambda df, **k: trials.longest_plateau(df, per=["run"], **k).select("run", "longest"),
+    lambda df, **k: stop.plateau_stop(df, 3, **k).select("run", "stop_pos", "end_pos", "stopped"),
+    lambda df, **k: stop.stop_at_plateau(df, 3, **k).select("run", "iter", "best", "pos"),
+    lambda df, **k: stop.stop_at_plateau(df, 4, **k).select("run", "iter", "best", "pos"),
+    lambda df, **k: curves.learning_curve(df, **k).select("iter", F.round("mean", 9), F.round("std", 9), "runs")])
+def test_size_does_not_change_the_answer(spark, operator):
+    """Window plans of measured short runs, and split plans of pieces of 7 rows, agree on NULL runs, NULL scores and ties."""
+    data = [("e", run, i, s) for run, scores in ODD_RUNS.items() for i, s in enumerate(scores, 1)]
+    plain = spark.createDataFrame(data, "experiment string, run long, iter long, score double")
+    known = number_rows(plain, ["experiment", "run"], ["iter"])
+    assert longest_run(known, "iter", ["experiment", "run"]) == 40
+    whole = sorted(map(str, operator(known).collect()))
+    assert whole and sorted(map(str, operator(plain, task_rows=7).collect())) == whole
+    assert sorted(map(str, operator(known, task_rows=7).collect())) == whole
+
+
+def test_run_without_a_score_is_missing_under_both_plans(log):
+    df = log({1: [None] * 4})
+    known = number_rows(df, ["experiment", "run"], ["iter"])
+    for frame, task_rows in ((known, 100), (df, 3)):
+        assert stop.stop_at_plateau(frame, 2, task_rows=task_rows).count() == 4
+        with pytest.raises(Exception, match="no plateau"):
+            stop.stop_at_plateau(frame, 2, on_missing="error", task_rows=task_rows).collect()
+
+
 def test_stitch_renumbers(log, rows):
     stages = [log({1: [0.1, 0.9, 0.2, 0.3]}), log({1: [0.5, 0.4, 0.3]}), log({1: [0.1, 0.2]})]
     got = stop.stitch_stages(stages, 2)

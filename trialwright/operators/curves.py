@@ -41,11 +41,11 @@ def _with_interval(curve: DataFrame, z: float, n: int | str, by: list[str]) -> D
         (F.col("mean") - F.col("half")).alias("lower"), (F.col("mean") + F.col("half")).alias("upper"))
 
 
-def extend_runs(log: DataFrame, keys: Sequence[str] = RUN, within: Sequence[str] = (),
+def extend_runs(log: DataFrame, keys: Sequence[str] = RUN, within: Sequence[str] = ("experiment",),
                 expand: bool = True) -> DataFrame:
-    """Rows that pad each stopped run to the longest run with its last best.
+    """Rows that pad each stopped run to the longest run of its method with its last best.
 
-    ``within`` names the columns inside which the longest run is taken.  ``expand=False`` returns one row
+    ``within`` names the columns inside which the longest run is taken (none: of all runs).  ``expand=False`` returns one row
     (from_iter, to_iter, score) per padded run; expanding writes runs x longest rows, which the curve
     does not need (see ``extended_curve``).
     """

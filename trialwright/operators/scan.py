@@ -74,20 +74,27 @@ def longest_run(log: DataFrame, order: str, keys: Sequence[str]) -> int | None:
     return longest if longest is not None and set(metadata[LONGEST_KEYS]) <= set(keys) else None
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys of which any may be NULL: the columns of ``left``, then the others of ``right``."""
+    there = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(there, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def join_runs(log: DataFrame, per_run: DataFrame, keys: Sequence[str], how: str = "left", order: str = "iter",
               task_rows: int = TASK_ROWS) -> DataFrame:
-    """Join a table of one row per run to the rows of a log.
+    """Join a table of one row per run to the rows of a log; NULL is a run like any other.
 
     A run longer than a task is met piece by piece: its one row is sent to each piece the log has, so the
-    join's key is (keys, piece), the partitioning ``prefix_scan`` leaves.
+    join's key is (keys, piece).
     """
     keys = list(keys)
     bound = longest_run(log, order, keys)
     if bound is not None and bound <= task_rows:
-        return log.join(per_run, keys, how)
+        return join_keys(log, per_run, keys, how)
     pieces = log.withColumn("__piece", F.floor(F.col(order) / task_rows))
     there = pieces.select(*keys, "__piece").distinct()
-    return pieces.join(per_run.join(there, keys), [*keys, "__piece"], how).drop("__piece")
+    return join_keys(pieces, join_keys(there, per_run, keys, "inner"), [*keys, "__piece"], how).drop("__piece")
 
 
 def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple[str, str]], order: str = "iter",
@@ -97,7 +104,7 @@ def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple
     ``order`` is an iteration number (unique in its group), so ``order / task_rows`` cuts a group into
     bounded pieces.  Piece totals are combined map-side and scanned; the rows themselves shuffle once,
     by (keys, piece).  A log whose measured longest run fits one task skips the second level.
-    Keys must not be NULL.
+    Keys may be NULL: pieces are keyed by the struct of all keys, which is equal where NULLs meet.
     """
     keys = list(keys)
     to_here = (W.unboundedPreceding, W.currentRow)
@@ -105,15 +112,15 @@ def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple
     if bound is not None and bound <= task_rows:
         window = W.partitionBy(*keys).orderBy(order).rowsBetween(*to_here)
         return log.withColumns({n: _FUNCTIONS[f](c).over(window) for n, (f, c) in running.items()})
-    pieces = log.withColumn("__piece", F.floor(F.col(order) / task_rows))
-    window = W.partitionBy(*keys, "__piece").orderBy(order).rowsBetween(*to_here)
+    pieces = log.withColumns({"__key": F.struct(*keys) if keys else F.lit(1), "__piece": F.floor(F.col(order) / task_rows)})
+    window = W.partitionBy("__key", "__piece").orderBy(order).rowsBetween(*to_here)
     inside = pieces.withColumns({n: _FUNCTIONS[f](c).over(window) for n, (f, c) in running.items()})
-    before = W.partitionBy(*keys).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
-    totals = pieces.groupBy(*keys, "__piece").agg(
+    before = W.partitionBy("__key").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    totals = pieces.groupBy("__key", "__piece").agg(
         *[_FUNCTIONS[f](c).alias(f"__{n}") for n, (f, c) in running.items()])
-    carry = totals.select(*keys, "__piece", *[
+    carry = totals.select("__key", "__piece", *[
         (F.max if f == "max" else F.sum)(f"__{n}").over(before).alias(f"__{n}") for n, (f, _) in running.items()])
-    joined = inside.join(carry, [*keys, "__piece"], "left")
+    joined = inside.join(carry, ["__key", "__piece"], "left")
     merged = {n: F.greatest(n, f"__{n}") if f == "max" else F.col(n) + F.coalesce(f"__{n}", F.lit(0))
               for n, (f, _) in running.items()}
     return joined.withColumns(merged).select(*log.columns, *[n for n in running if n not in log.columns])

@@ -37,6 +37,13 @@ class Param:
             return len(self.values)
         return self.hi - self.lo + self.inclusive if self.kind == "int" else math.inf
 
+    @property
+    def points(self) -> list[float]:
+        """All values of a parameter that has finitely many."""
+        if self.kind == "choice":
+            return list(dict.fromkeys(float(v) for v in self.values))
+        return [float(int(self.lo) + i) for i in range(int(self.size))]
+
     def draw(self, u: Column) -> Column:
         if self.kind == "choice":
             options = F.array(*[F.lit(float(v)) for v in self.values])

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialwright.operators.scan import join_runs, longest_run, number_rows
-from trialwright.operators.trials import RUN, STAGE_SIZE, best_per_run, plateau_lengths, scored_scan, union_trials
+from trialwright.operators.trials import RUN, STAGE_SIZE, best_per_run, scored_scan, union_trials
 from trialwright.session import TASK_ROWS
 
 
@@ -22,11 +22,13 @@ def plateau_stop(log: DataFrame, n: int, keys: Sequence[str] = RUN, on_missing:
     """``stop_pos`` per run: the n-th scored trial of its first plateau of at least n.
 
     Only plateau counts leave the scan, so this aggregates map-side however long a run is.  A run
-    without such a plateau stops at its end, or raises with ``on_missing="error"``.
+    without such a plateau stops at its end (0 without a scored trial), or raises with ``on_missing="error"``.
     """
-    plateaus = plateau_lengths(log, keys, task_rows)
+    scored = F.when(F.col("score").isNotNull(), F.col("pos"))
+    plateaus = scored_scan(log, keys, task_rows).groupBy(*keys, "best").agg(
+        F.count("score").alias("length"), F.min(scored).alias("first_pos"))
     first = F.min(F.when(F.col("length") >= n, F.col("first_pos"))) + (n - 1)
-    end = F.max(F.col("first_pos") + F.col("length") - 1)
+    end = F.coalesce(F.max(F.col("first_pos") + F.col("length") - 1), F.lit(0))
     missing = {"keep": F.col("end_pos"), "error": F.raise_error(F.lit(f"no plateau of {n} trials")).cast("bigint")}
     return plateaus.groupBy(*keys).agg(first.alias("__stop"), end.alias("end_pos")).select(
         *keys, F.coalesce("__stop", missing[on_missing]).alias("stop_pos"), "end_pos",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialwright.operators.scan import LONGEST, LONGEST_KEYS, bounded, join_runs, longest_run, number_rows, prefix_scan
+from trialwright.operators.scan import LONGEST, LONGEST_KEYS, bounded, join_keys, join_runs, longest_run, number_rows, prefix_scan
 from trialwright.session import TASK_ROWS
 
 RUN = ("experiment", "run")
@@ -80,14 +80,15 @@ def plateau_lengths(log: DataFrame, keys: Sequence[str] = RUN, task_rows: int =
         F.count("*").alias("length"), F.min("pos").alias("first_pos"), F.min("iter").alias("first_iter"))
 
 
-def longest_plateau(log: DataFrame, keys: Sequence[str] = RUN, per: Sequence[str] = ()) -> DataFrame:
+def longest_plateau(log: DataFrame, keys: Sequence[str] = RUN, per: Sequence[str] = (),
+                    task_rows: int = TASK_ROWS) -> DataFrame:
     """Longest plateau that still ended in an improvement, at least 1."""
-    plateaus = plateau_lengths(log, keys)
+    plateaus = plateau_lengths(log, keys, task_rows)
     bound = longest_run(log, "iter", keys)
-    if bound is not None and bound <= TASK_ROWS:
+    if bound is not None and bound <= task_rows:
         plateaus = plateaus.withColumn("__final", F.max("best").over(W.partitionBy(*keys)))
     else:
-        plateaus = plateaus.join(log.groupBy(*keys).agg(F.max("score").alias("__final")), list(keys))
+        plateaus = join_keys(plateaus, log.groupBy(*keys).agg(F.max("score").alias("__final")), keys, "inner")
     ended = F.when(F.col("best") < F.col("__final"), F.col("length"))
     return plateaus.groupBy(*per).agg(F.greatest(F.max(ended), F.lit(1)).alias("longest"))
 

@@ -6,11 +6,12 @@ The driver holds the stage state only.  A batch of candidates is a table; cross-
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialwright.operators.boost import Binned, fit_boosted, pair_batches
@@ -19,7 +20,7 @@ from trialwright.operators.propose import (
     config_history, epsilon_greedy, propose_ei, propose_tpe, top_proposals)
 from trialwright.operators.space import Param, distinct_random_candidates, grid_candidates, random_candidates
 from trialwright.operators.stop import plateau_stop
-from trialwright.operators.trials import union_trials
+from trialwright.operators.trials import distinct_configs, union_trials
 from trialwright.session import materialize
 
 MAX_TRIALS = 100_000
@@ -71,7 +72,12 @@ def cv_objective(data: Binned, k: int, seed: int = 0) -> Callable[[Mapping[str,
     return lambda frozen: lambda candidates: cross_validate(data, candidates, k, frozen, seed)[0]
 
 
-def skip_finished(candidates: DataFrame, finished: DataFrame | None, params: Sequence[str]) -> DataFrame:
+def nan_to_null(score: str) -> Column:
+    """A NaN score would sort above every other; NULL never wins."""
+    return F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+
+
+def skip_finished(candidates: DataFrame,finished: DataFrame | None, params: Sequence[str]) -> DataFrame:
     """Candidates whose configuration has no finished trial."""
     if finished is None:
         return candidates
@@ -102,23 +108,32 @@ class SearchResult:
     stage_winners: list[dict[str, float]] = field(default_factory=list)
 
 
-def propose(spark: SparkSession, stage: Stage, finished: DataFrame | None, done: int, n: int, seed: int) -> DataFrame:
-    """The next n candidates of a stage, numbered from ``done``."""
-    if stage.mode == "grid":
-        return grid_candidates(spark, stage.grid).where(F.col("trial_id").between(done, done + n - 1))
-    if stage.mode == "distinct":
-        drawn = distinct_random_candidates(spark, stage.space, stage.budget, seed).orderBy("trial_id")
-        return _renumber(drawn, 0).where(F.col("trial_id").between(done, done + n - 1))
-    fresh = random_candidates(spark, stage.space, n, seed, start=done)
+def propose(spark: SparkSession, stage: Stage, finished: DataFrame | None, done: int, n: int, seed: int,
+            start: int | None = None) -> DataFrame:
+    """The next n candidates of a stage after ``done`` trials, numbered from ``start`` (``done`` if not given).
+
+    Grids and distinct draws have their numbers from the start; the lowest ones without a trial come next.
+    """
+    start = done if start is None else start
+    if stage.mode in ("grid", "distinct"):
+        every = (grid_candidates(spark, stage.grid) if stage.mode == "grid" else
+                 _renumber(distinct_random_candidates(spark, stage.space, stage.budget, seed).orderBy("trial_id"), 0))
+        left = every if finished is None else every.join(finished.select("trial_id"), "trial_id", "left_anti")
+        return left.orderBy("trial_id").limit(n)
+    fresh = random_candidates(spark, stage.space, n, seed, start=start)
     if stage.mode == "random" or finished is None or done < stage.initial:
         return fresh
     names = [p.name for p in stage.space]
     history = config_history(finished, names, ())
-    pool = random_candidates(spark, stage.space, stage.pool, seed + 1, start=done * stage.pool)
-    pool = skip_finished(pool, finished, names)
+    if math.prod(p.size for p in stage.space) <= max(stage.pool, 2 * done):
+        # Draws could all be finished; so few points are all looked at.
+        pool = grid_candidates(spark, {p.name: p.points for p in stage.space})
+    else:
+        pool = random_candidates(spark, stage.space, stage.pool, seed + 1, start=start * stage.pool)
+    pool = skip_finished(distinct_configs(pool, names), finished, names)
     scored, value = ((propose_tpe(history, pool, stage.space, ()), "log_ratio") if stage.mode == "tpe"
                      else (propose_ei(history, pool, stage.space, ()), "ei"))
-    best = _renumber(top_proposals(scored, value, n, ()).drop(value), done)
+    best = _renumber(top_proposals(scored, value, n, ()).drop(value), start)
     return epsilon_greedy(best, fresh, stage.epsilon, seed, ["trial_id"]) if stage.epsilon else best
 
 
@@ -135,9 +150,13 @@ def search_stage(spark: SparkSession, objective: Objective, stage: Stage, seed:
                  on_batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run one stage to its budget or stop and return its log (iter = trial_id + 1).
 
-    ``finished`` resumes: its trials count against the budget and feed the proposals.
+    ``finished`` resumes: its trials count against the budget and feed the proposals, and new ones are numbered
+    after them.  A candidate whose score is NaN or that the objective leaves out is a trial with a NULL score.
     """
-    log, done = finished, finished.count() if finished is not None else 0
+    log, done, start = finished, 0, 0
+    if finished is not None:
+        done, last = finished.agg(F.count("*"), F.max("trial_id")).first()
+        start = 0 if last is None else last + 1
     model_based = stage.mode in ("ei", "tpe")
     while done < stage.budget:
         if stage.max_no_improve or model_based:
@@ -145,13 +164,15 @@ def search_stage(spark: SparkSession, objective: Objective, stage: Stage, seed:
             n = min(n, stage.budget - done)
         else:
             n = stage.budget - done
-        batch = materialize(propose(spark, stage, log, done, n, seed), "candidates")
-        got = batch.count()
+        batch = materialize(propose(spark, stage, log, done, n, seed, start), "candidates")
+        got, last = batch.agg(F.count("*"), F.max("trial_id")).first()
         if not got:
             break
-        scored = objective(batch).withColumn("iter", F.col("trial_id") + 1)
+        scored = materialize(objective(batch).withColumn("score", nan_to_null("score")), "scored")
+        unscored = batch.join(scored.select("trial_id"), "trial_id", "left_anti")
+        scored = union_trials(scored, unscored).withColumn("iter", F.col("trial_id") + 1)
         log = materialize(scored if log is None else union_trials(log, scored), "log")
-        done += got
+        done, start = done + got, max(start, last + 1)
         if on_batch:
             on_batch(log, done)
         if stage.max_no_improve and no_improvement(log, stage.max_no_improve):
