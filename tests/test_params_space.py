@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +75,34 @@ def test_distinct_draws(spark):
     small = [space.Param("a", "int", 1, 4), space.Param("b", "choice", values=(1.0, 2.0))]
     got = space.distinct_random_candidates(spark, small, 6)
     assert got.select("a", "b").distinct().count() == 6
+    assert [r[0] for r in got.orderBy("trial_id").collect()] == list(range(6))
     with pytest.raises(ValueError, match="6 points"):
         space.distinct_random_candidates(spark, small, 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Aggregate" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 350, 1009])
+def test_permutation(spark, n):
+    got = [r[0] for r in spark.range(n).select(space.permuted(F.col("id"), n, seed=3)).collect()]
+    assert sorted(got) == list(range(n))
+    if n > 100:
+        assert sum(a == b for a, b in enumerate(got)) < 10 and abs(np.corrcoef(range(n), got)[0, 1]) < 0.2
+
+
+def test_distinct_draws_of_ranges_and_runs(spark):
+    mixed = [*space.SEARCH_SPACE, space.Param("c", "choice", values=(2.0, 2.0, 5.0))]
+    got = space.distinct_random_candidates(spark, mixed, 400, seed=1).toPandas()
+    assert len(got.drop(columns="trial_id").drop_duplicates()) == 400 and set(got["c"]) == {2.0, 5.0}
+    for p in space.SEARCH_SPACE:
+        assert got[p.name].between(p.lo, p.hi).all() and got[p.name].nunique() > 15
+    runs = spark.createDataFrame([(1,), (2,)], "run long")
+    small = [space.Param("a", "int", 0, 30)]
+    both = space.distinct_random_candidates(spark, small, 30, runs=runs).toPandas().sort_values("trial_id")
+    orders = [list(both[both.run == r]["a"]) for r in (1, 2)]
+    assert all(sorted(o) == list(range(30)) for o in orders) and orders[0] != orders[1]
+    later = space.distinct_random_candidates(spark, small, 10, start=20, runs=runs).toPandas()
+    assert set(later[later.run == 1]["a"]) == set(orders[0][20:])
 
 
 def test_space_and_stage_tables(spark):

@@ -1,13 +1,16 @@
 """The split plans give what a plain window gives, hot groups included."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialwright.operators.scan import join_runs, longest_run, number_rows, prefix_scan
 from trialwright.operators.stats import describe_scores, exact_quantiles
+from trialwright.operators.stop import stop_at_plateau
 from trialwright.operators.trials import plateau_lengths, rank_trials, running_best, union_trials
 
 
@@ -64,7 +67,37 @@ def test_prefix_scan_split_equals_window(skewed, rows):
 
 def test_split_scan_shuffles_by_piece(skewed):
     plan = running_best(skewed, ["run"], task_rows=16)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(run" in plan and "__piece" in plan
+    assert "hashpartitioning(__key" in plan and "__piece" in plan
+
+
+def shuffles_of(df, column):
+    """How many exchanges by key move rows that have ``column``."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    with redirect_stdout(StringIO()) as out:
+        df.explain("formatted")
+    return len(re.findall(rf"Exchange\nInput \[\d+\]: \[[^\]]*\b{column}#[^\]]*\]\nArguments: hashpartitioning", out.getvalue()))
+
+
+def test_split_stop_shuffles_the_rows_once(spark, skewed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffles_of(stop_at_plateau(skewed, 5, ["run"], task_rows=16), "noise") == 1
+        assert shuffles_of(running_best(skewed, ["run"], task_rows=16), "noise") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_split_stop_with_null_runs(spark, rows):
+    scores = {None: [1, 3, 2, 2, 2, 9], 1: [5, 4, None, 4, 4], 2: [None, None]}
+    log = spark.createDataFrame([(r, i, None if s is None else float(s)) for r, found in scores.items() for i, s in enumerate(found, 1)],
+                                "run long, iter long, score double")
+    show = lambda df: sorted(map(str, df.select("run", "iter", "best", "pos").collect()))
+    split = stop_at_plateau(log, 3, ["run"], task_rows=2)
+    assert split.columns == [*log.columns, "best", "pos"]
+    assert show(split) == show(stop_at_plateau(number_rows(log, ["run"], ["iter"], "iter"), 3, ["run"]))
+    assert split.where("run IS NULL").count() == 4 and split.where("run = 2").count() == 2
 
 
 def test_plateaus_do_not_depend_on_the_split(skewed, rows):
@@ -85,6 +118,22 @@ def test_quantiles_split(spark):
     assert (row["count"], row["min"], row["q50"], row["max"]) == (101, 0.0, 50.0, 100.0)
 
 
+def test_one_value_in_most_rows(spark):
+    """Nine of ten rows share a value: quantiles and ranks come from one row per value, and no task gets the whole tie."""
+    df = spark.range(4000).select((F.col("id") % 4).alias("run"), F.col("id").alias("iter"),
+                                  F.when(F.col("id") % 10 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("score")).repartition(7)
+    values = sorted(r[0] for r in df.select("score").collect())
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, "score", (0.05, 0.5, 0.95), task_rows=50).collect()}
+    assert got == pytest.approx({p: float(np.quantile(values, p)) for p in (0.05, 0.5, 0.95)})
+    ranked = rank_trials(df, [], task_rows=100)
+    w = W.orderBy(F.desc("score"))
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, df.withColumn("rank", F.rank().over(w).cast("long")).collect()))
+    # The tie is joined by broadcast where it lies; only rows of rare scores are dealt by score.
+    tied = ranked.where("score = 5.0")
+    sizes = tied.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 0.4 * tied.count()
+
+
 def test_running_best_is_monotone_and_reaches_the_maximum(skewed):
     w = W.partitionBy("run").orderBy("iter")
     best = running_best(skewed, ["run"]).withColumn("before", F.lag("best").over(w))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,21 +16,88 @@ def _objective(candidates):
     return candidates.withColumn("score", 1 - (F.col("x") - 0.7) * (F.col("x") - 0.7))
 
 
-def test_posterior_interpolates():
-    x, y = np.array([[0.0], [0.5], [1.0]]), np.array([0.0, 1.0, 0.5])
-    mu, sd = propose.gaussian_posterior(x, y, np.ones(3), noise=1e-6)(np.array([[0.5], [0.25]]))
-    assert mu[0] == pytest.approx(1.0, abs=1e-2) and sd[0] < sd[1]
-
-
-def test_averaged_repeats_equal_single_trials():
-    """A configuration tried twice equals its mean with weight 2 (same prior mean and scale)."""
-    at, noise, scale = np.array([[0.1], [0.4], [0.8]]), 0.1, 0.3
-    k = lambda p, q: np.exp(-((p - q.T) ** 2) / (2 * scale**2))
-    x, y = np.array([[0.2], [0.2], [0.9]]), np.array([1.0, 3.0, 0.0])
-    prior, unit = y.mean(), np.array([2.0, 0.0]).std()
-    full = prior + k(at, x) @ np.linalg.solve(k(x, x) + np.diag([noise + 1e-9] * 3), y - prior)
-    mu, _ = propose.gaussian_posterior(np.array([[0.2], [0.9]]), np.array([2.0, 0.0]), np.array([2.0, 1.0]), scale, noise)(at)
-    assert unit > 0 and mu == pytest.approx(full, abs=1e-6)
+def sums_of(spark, rows, space_=SPACE, features=propose.FEATURES, parts=1):
+    history = spark.createDataFrame(rows, "x double, score double, weight long").repartition(parts)
+    return propose.feature_sums(history, space_, [], propose.fourier_basis(len(space_), features)).toPandas()
+
+
+def test_posterior_follows_the_kernel(spark):
+    """With many features the posterior is that of the Gaussian process with an RBF kernel."""
+    x, y, scale, noise = np.array([0.0, 0.3, 0.5, 1.0]), np.array([0.0, 0.4, 1.0, 0.5]), 0.3, 0.01
+    posterior = propose.Posterior(sums_of(spark, [(float(a), float(b), 1) for a, b in zip(x, y)], features=4000), 4000, noise)
+    at = np.array([0.5, 0.25, 0.9])
+    mu, sd = posterior.at(propose.basis_at(at[:, None], propose.fourier_basis(1, 4000)))
+    k = lambda p, q: np.exp(-((p[:, None] - q[None, :]) ** 2) / (2 * scale**2))
+    inverse = np.linalg.inv(k(x, x) + noise * np.eye(4))
+    assert mu == pytest.approx(y.mean() + k(at, x) @ inverse @ (y - y.mean()), abs=0.05)
+    assert sd == pytest.approx(y.std() * np.sqrt(1 - np.einsum("ij,jk,ik->i", k(at, x), inverse, k(at, x))), abs=0.08)
+
+
+def test_repeats_equal_weights_and_parts_do_not_matter(spark):
+    one = [(0.2, 1.0, 1), (0.2, 1.0, 1), (0.9, 0.0, 1)]
+    a, b = (propose.Posterior(sums_of(spark, r, parts=p), propose.FEATURES, 0.1) for r, p in ((one, 3), ([(0.2, 1.0, 2), (0.9, 0.0, 1)], 1)))
+    phi = propose.basis_at(np.linspace(0, 1, 7)[:, None], propose.fourier_basis(1))
+    for p, q in zip(a.at(phi), b.at(phi)):
+        assert p == pytest.approx(q, abs=1e-9)
+
+
+def test_a_believed_trial_is_one_more_trial(spark):
+    rows, point = [(0.1, 1.0, 1), (0.5, 3.0, 2), (0.8, 2.0, 1)], 0.35
+    posterior, basis = propose.Posterior(sums_of(spark, rows), propose.FEATURES, 0.01), propose.fourier_basis(1)
+    phi_of = lambda xs: propose.basis_at(np.array(xs)[:, None], basis)
+    mean, deviation = posterior.mean, posterior.deviation
+    posterior.believe(phi_of([point])[0], 2.5)
+    x, y, w = np.array([r[0] for r in rows] + [point]), np.array([r[1] for r in rows] + [2.5]), np.array([1, 2, 1, 1])
+    phi = phi_of(x)
+    inverse = np.linalg.inv(np.eye(propose.FEATURES) + (phi * w[:, None]).T @ phi / 0.01)
+    at = phi_of([0.2, 0.4, 0.6])
+    mu, sd = posterior.at(at)
+    assert mu == pytest.approx(mean + at @ inverse @ ((w * (y - mean)) @ phi) / 0.01, abs=1e-6)
+    assert sd == pytest.approx(deviation * np.sqrt(np.einsum("ij,jk,ik->i", at, inverse, at)), abs=1e-6)
+
+
+@pytest.mark.parametrize("keys", [["run"], []])
+def test_batch_is_picked_one_after_another(spark, keys):
+    """Eight picks equal eight single proposals, each with the ones before among the history at the believed score."""
+    rows = [(float(i) / 9, 1 - (i / 9 - 0.7) ** 2, 1 + i % 2) for i in range(0, 10, 3)]
+    history = spark.createDataFrame([("r", *r) for r in rows], "run string, x double, score double, weight long")
+    runs = spark.createDataFrame([("r",), ("new",)] if keys else [("r",)], "run string")
+    pool = space.random_candidates(spark, SPACE, 50, seed=2, runs=runs)
+    running = spark.createDataFrame([("r", 0.72)], "run string, x double")
+    got = propose.propose_batch(history, pool, SPACE, 8, keys, pending=running, lie="mean").collect()
+    picked = [r["trial_id"] for r in sorted((r for r in got if r["run"] == "r"), key=lambda r: r["pick"])]
+    basis, left = propose.fourier_basis(1), {r["trial_id"]: r["x"] for r in pool.where("run = 'r'").collect()}
+    x, y, w = (np.array(c) for c in zip(*rows))
+    mean = np.average(y, weights=w)
+    dev = np.sqrt(np.average(y * y, weights=w) - mean**2)
+    believed, expected = [0.72], []
+    for _ in range(8):
+        phi = propose.basis_at(np.append(x, believed)[:, None], basis)
+        target, weight = np.append((y - mean) / dev, np.zeros(len(believed))), np.append(w, np.ones(len(believed)))
+        inverse = np.linalg.inv(np.eye(propose.FEATURES) + (phi * weight[:, None]).T @ phi / propose.NOISE)
+        ids = sorted(left)
+        at = propose.basis_at(np.array([left[i] for i in ids])[:, None], basis)
+        mu, sd = mean + dev * (at @ inverse @ ((weight * target) @ phi)) / propose.NOISE, dev * np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", at, inverse, at), 1e-12))
+        z = (mu - y.max()) / sd
+        ei = (mu - y.max()) * np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z]) + sd * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        best = ids[int(np.argmax(ei))]
+        expected.append(best)
+        believed.append(left.pop(best))
+    assert picked == expected
+    if keys:
+        assert [(r["trial_id"], r["ei"]) for r in got if r["run"] == "new"] == [(i, 1.0) for i in range(8)]
+    with pytest.raises(ValueError):
+        propose.propose_batch(history, pool, SPACE, 8, keys, lie="worst")
+
+
+def test_long_history(spark):
+    """Fifty thousand configurations in one run, for both models: no limit, and no group of rows."""
+    history = spark.range(50_000).select(F.lit("r").alias("run"), (F.col("id") / 50_000).alias("x")).withColumns(
+        {"score": 1 - F.pow(F.col("x") - 0.7, 2), "weight": F.lit(1).cast("long")})
+    pool = space.random_candidates(spark, SPACE, 100, seed=2, runs=spark.createDataFrame([("r",)], "run string"))
+    for scored, value in ((propose.propose_ei(history, pool, SPACE), "ei"), (propose.propose_tpe(history, pool, SPACE, task_rows=9_000), "log_ratio")):
+        best = propose.top_proposals(scored, value, 3).collect()
+        assert len(best) == 3 and all(abs(r["x"] - 0.7) < 0.15 for r in best)
 
 
 def test_slices_and_blocks_do_not_change_the_scores(spark, rows, monkeypatch):
@@ -36,12 +105,12 @@ def test_slices_and_blocks_do_not_change_the_scores(spark, rows, monkeypatch):
     history = propose.config_history(history, ["x"])
     runs = spark.createDataFrame([("r",), ("new",)], "run string")
     cand = space.random_candidates(spark, SPACE, 60, seed=2, runs=runs)
-    for fn, value in ((propose.propose_ei, "ei"), (propose.propose_tpe, "log_ratio")):
-        one = rows(fn(history, cand, SPACE, slices=1), "run", "trial_id", value)
+    for fn, value, how in ((propose.propose_ei, "ei", {"slices": 1}), (propose.propose_tpe, "log_ratio", {})):
+        one = rows(fn(history, cand, SPACE, **how), "run", "trial_id", value)
         monkeypatch.setattr(propose, "BLOCK", 5)
-        many = rows(fn(history, cand, SPACE, slices=7), "run", "trial_id", value)
+        many = rows(fn(history, cand, SPACE, **({"slices": 7} if how else {"task_rows": 2})), "run", "trial_id", value)
         assert [r[:2] for r in one] == [r[:2] for r in many] and len(one) == 120
-        assert [r[2] for r in one] == pytest.approx([r[2] for r in many], abs=1e-9)
+        assert [r[2] for r in one] == pytest.approx([r[2] for r in many], abs=1e-6)
         best = propose.top_proposals(fn(history, cand, SPACE), value, 3).where("run = 'r'").collect()
         assert len(best) == 3 and all(0.4 < r["x"] <= 1.0 for r in best)
 
@@ -51,13 +120,6 @@ def test_top_proposals_breaks_ties_by_id(spark, rows):
     assert rows(propose.top_proposals(scored, "ei", 2), "trial_id") == [(0,), (1,)]
 
 
-def test_history_limit_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(propose, "MAX_HISTORY", 2)
-    history = spark.createDataFrame([("r", float(i), 1.0, 1) for i in range(3)], "run string, x double, score double, weight long")
-    with pytest.raises(ValueError, match="3 distinct"):
-        propose.propose_ei(history, history.withColumn("trial_id", F.lit(1)), SPACE)
-
-
 def test_epsilon_greedy_keeps_every_row(spark):
     a = space.random_candidates(spark, SPACE, 400, 1).withColumn("x", F.lit(-1.0))
     b = space.random_candidates(spark, SPACE, 400, 2)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialwright.functions.hashing import uniform
+from trialwright.operators.scan import number_rows
 
 MAX_CATEGORIES = 1000
 
@@ -70,9 +71,11 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """Repeatable random order."""
-    return df.orderBy(uniform(*keys, seed=seed), *keys)
+def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: int = 0, position: str | None = None) -> DataFrame:
+    """Repeatable random order; ``position`` names a column for a row's place in it, from 1, which needs no sorted output."""
+    if position is None:
+        return df.orderBy(uniform(*keys, seed=seed), *keys)
+    return number_rows(df.withColumn("__u", uniform(*keys, seed=seed)), [], ["__u", *keys], position).drop("__u")
 
 
 def move_column_last(df: DataFrame, column: str = "target") -> DataFrame:

@@ -18,6 +18,9 @@ from trialwright.session import TASK_ROWS, materialize
 # Column metadata that records the measured length of the longest run, and what a run is.
 LONGEST, LONGEST_KEYS = "longest_run", "longest_run_keys"
 
+# What a split scan's rows are partitioned by.
+PIECES = "__key", "__piece"
+
 # ``monotonically_increasing_id`` holds the partition above this many bits of row position.
 PART_BITS = 33
 
@@ -86,9 +89,14 @@ def join_runs(log: DataFrame, per_run: DataFrame, keys: Sequence[str], how: str
     """Join a table of one row per run to the rows of a log; NULL is a run like any other.
 
     A run longer than a task is met piece by piece: its one row is sent to each piece the log has, so the
-    join's key is (keys, piece).
+    join's key is (keys, piece).  A log whose scan kept its pieces is joined where the scan left it, without
+    another shuffle of its rows; its pieces are dropped.
     """
     keys = list(keys)
+    if PIECES[1] in log.columns:
+        found = per_run.withColumn("__key", _key(keys)).drop(*keys)
+        there = log.select(*PIECES).distinct().join(found, "__key")
+        return log.join(there, list(PIECES), how).drop(*PIECES)
     bound = longest_run(log, order, keys)
     if bound is not None and bound <= task_rows:
         return join_keys(log, per_run, keys, how)
@@ -97,14 +105,20 @@ def join_runs(log: DataFrame, per_run: DataFrame, keys: Sequence[str], how: str
     return join_keys(pieces, join_keys(there, per_run, keys, "inner"), [*keys, "__piece"], how).drop("__piece")
 
 
+def _key(keys: Sequence[str]) -> Column:
+    """All keys as one value that is never NULL, so that NULL runs meet under plain equality."""
+    return F.struct(*keys) if keys else F.lit(1)
+
+
 def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple[str, str]], order: str = "iter",
-                task_rows: int = TASK_ROWS) -> DataFrame:
+                task_rows: int = TASK_ROWS, keep_pieces: bool = False) -> DataFrame:
     """Add running aggregates (``{"best": ("max", "score")}``) in ``order`` within each group.
 
     ``order`` is an iteration number (unique in its group), so ``order / task_rows`` cuts a group into
     bounded pieces.  Piece totals are combined map-side and scanned; the rows themselves shuffle once,
     by (keys, piece).  A log whose measured longest run fits one task skips the second level.
-    Keys may be NULL: pieces are keyed by the struct of all keys, which is equal where NULLs meet.
+    Keys may be NULL: pieces are keyed by the struct of all keys, which is equal where NULLs meet.  With
+    ``keep_pieces`` a split scan keeps the columns its rows are partitioned by, for ``join_runs``.
     """
     keys = list(keys)
     to_here = (W.unboundedPreceding, W.currentRow)
@@ -112,7 +126,7 @@ def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple
     if bound is not None and bound <= task_rows:
         window = W.partitionBy(*keys).orderBy(order).rowsBetween(*to_here)
         return log.withColumns({n: _FUNCTIONS[f](c).over(window) for n, (f, c) in running.items()})
-    pieces = log.withColumns({"__key": F.struct(*keys) if keys else F.lit(1), "__piece": F.floor(F.col(order) / task_rows)})
+    pieces = log.withColumns({"__key": _key(keys), "__piece": F.floor(F.col(order) / task_rows)})
     window = W.partitionBy("__key", "__piece").orderBy(order).rowsBetween(*to_here)
     inside = pieces.withColumns({n: _FUNCTIONS[f](c).over(window) for n, (f, c) in running.items()})
     before = W.partitionBy("__key").orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
@@ -120,7 +134,7 @@ def prefix_scan(log: DataFrame, keys: Sequence[str], running: Mapping[str, tuple
         *[_FUNCTIONS[f](c).alias(f"__{n}") for n, (f, c) in running.items()])
     carry = totals.select("__key", "__piece", *[
         (F.max if f == "max" else F.sum)(f"__{n}").over(before).alias(f"__{n}") for n, (f, _) in running.items()])
-    joined = inside.join(carry, ["__key", "__piece"], "left")
+    joined = inside.join(carry, list(PIECES), "left")
     merged = {n: F.greatest(n, f"__{n}") if f == "max" else F.col(n) + F.coalesce(f"__{n}", F.lit(0))
               for n, (f, _) in running.items()}
-    return joined.withColumns(merged).select(*log.columns, *[n for n in running if n not in log.columns])
+    return joined.withColumns(merged).select(*log.columns, *[n for n in running if n not in log.columns], *(PIECES if keep_pieces else ()))

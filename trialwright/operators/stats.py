@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialwright.operators.scan import number_rows
+from trialwright.operators.scan import join_runs, number_rows, prefix_scan
 from trialwright.operators.trials import RUN, best_per_run
-from trialwright.session import TASK_ROWS
+from trialwright.session import TASK_ROWS, materialize
 
 
 def param_stats(log: DataFrame, keys: Sequence[str] = RUN, by: Sequence[str] = ("experiment",)) -> DataFrame:
@@ -31,20 +31,33 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return counts.unpivot([], counts.columns, "column", "nulls")
 
 
+def cumulative_counts(df: DataFrame, value: str, keys: Sequence[str] = (), descending: bool = False,
+                      task_rows: int = TASK_ROWS) -> DataFrame:
+    """(keys, value, __i, n, upto): rows per value, and rows up to and with it in the order of values, NULL last.
+
+    Rows are counted map-side and written as one row per value; only those are sorted and scanned, in pieces where a group
+    has many.  A value that most rows share is one row.
+    """
+    counts = materialize(df.groupBy(*keys, value).agg(F.count("*").alias("n")), "counts")
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
+    numbered = number_rows(counts, keys, [order], "__i", task_rows)
+    return prefix_scan(numbered, keys, {"upto": ("sum", "n")}, order="__i", task_rows=task_rows)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
                     task_rows: int = TASK_ROWS) -> DataFrame:
-    """Linear-interpolated quantiles by position in the distributed order, one row per (keys, prob)."""
+    """Linear-interpolated quantiles, one row per (keys, prob), from the counts of the values."""
     keys = list(keys)
-    numbered = number_rows(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value], "__pos", task_rows)
-    sizes = numbered.groupBy(*keys).agg(F.max("__pos").alias("__n"))
-    wanted = sizes.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    wanted = wanted.withColumn("__at", F.col("prob") * (F.col("__n") - 1) + 1).select(
-        *keys, "prob", "__at", F.explode(F.array_distinct(F.array(
-            F.floor("__at"), F.ceil("__at")))).alias("__pos"))
-    hits = numbered.join(wanted, [*keys, "__pos"])
-    low, high = F.min_by(value, "__pos"), F.max_by(value, "__pos")
-    part = F.max("__at") - F.floor(F.max("__at"))
-    return hits.groupBy(*keys, "prob").agg((low + (high - low) * part).alias("quantile"))
+    counts = cumulative_counts(df.where(F.col(value).isNotNull()), value, keys, task_rows=task_rows)
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("__n")).where("__n IS NOT NULL")
+    with_total = (join_runs(counts, total, keys, "inner", "__i", task_rows) if keys else
+                  counts.withColumn("__n", total.select("__n").scalar()).where("__n IS NOT NULL"))
+    at = [F.lit(float(p)) * (F.col("__n") - 1) + 1 for p in probs]
+    ends = [F.min(F.when(F.col("upto") >= end(a), F.col(value))) for a in at for end in (F.floor, F.ceil)]
+    found = with_total.groupBy(*keys, "__n").agg(*[e.alias(f"__{i}") for i, e in enumerate(ends)])
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.col(f"__{2 * i}") + (F.col(f"__{2 * i + 1}") - F.col(f"__{2 * i}")) * (a - F.floor(a)))
+                              .alias("quantile")) for i, (p, a) in enumerate(zip(probs, at))])
+    return found.select(*keys, F.inline(rows))
 
 
 def describe_scores(df: DataFrame, value: str = "score", keys: Sequence[str] = (),

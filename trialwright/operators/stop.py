@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialwright.operators.scan import join_runs, longest_run, number_rows
+from trialwright.operators.scan import PIECES, join_runs, longest_run, number_rows
 from trialwright.operators.trials import RUN, STAGE_SIZE, best_per_run, scored_scan, union_trials
 from trialwright.session import TASK_ROWS
 
@@ -40,9 +40,9 @@ def stop_at_plateau(log: DataFrame, n: int, keys: Sequence[str] = RUN, on_missin
     """The log up to each run's plateau stop, with running best and position.
 
     Runs known to fit a task are cut by windows alone, over the one shuffle the scan needs; otherwise the
-    stops are aggregated and joined back.
+    stops are aggregated and joined back piece by piece, where the scan left the rows.
     """
-    scan = scored_scan(log, keys, task_rows)
+    scan = scored_scan(log, keys, task_rows, keep_pieces=True)
     bound = longest_run(log, "iter", keys)
     if bound is not None and bound <= task_rows:
         plateau, run = W.partitionBy(*keys, "best"), W.partitionBy(*keys)
@@ -55,7 +55,7 @@ def stop_at_plateau(log: DataFrame, n: int, keys: Sequence[str] = RUN, on_missin
         return cut.where(F.col("pos") <= F.coalesce("__stop", missing)).select(scan.columns)
     stops = plateau_stop(log, n, keys, on_missing, task_rows).select(*keys, "stop_pos")
     return join_runs(scan, stops, keys, task_rows=task_rows).where(
-        F.col("pos") <= F.coalesce("stop_pos", "pos")).select(scan.columns)
+        F.col("pos") <= F.coalesce("stop_pos", "pos")).select([c for c in scan.columns if c not in PIECES])
 
 
 def global_best_stop(log: DataFrame, n: int, left: int | None = None, right: int | None = None,

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialwright.operators.scan import LONGEST, LONGEST_KEYS, bounded, join_keys, join_runs, longest_run, number_rows, prefix_scan
-from trialwright.session import TASK_ROWS
+from trialwright.session import TASK_ROWS, materialize
 
 RUN = ("experiment", "run")
 STAGE_SIZE = 243
@@ -68,9 +68,9 @@ def running_best(log: DataFrame, keys: Sequence[str] = RUN, task_rows: int = TAS
     return prefix_scan(log, keys, {"best": ("max", "score")}, task_rows=task_rows)
 
 
-def scored_scan(log: DataFrame, keys: Sequence[str] = RUN, task_rows: int = TASK_ROWS) -> DataFrame:
+def scored_scan(log: DataFrame, keys: Sequence[str] = RUN, task_rows: int = TASK_ROWS, keep_pieces: bool = False) -> DataFrame:
     """Running best and ``pos``, the number of scored trials so far."""
-    return prefix_scan(log, keys, {"best": ("max", "score"), "pos": ("count", "score")}, task_rows=task_rows)
+    return prefix_scan(log, keys, {"best": ("max", "score"), "pos": ("count", "score")}, task_rows=task_rows, keep_pieces=keep_pieces)
 
 
 def plateau_lengths(log: DataFrame, keys: Sequence[str] = RUN, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -125,18 +125,24 @@ def last_iter_rows(log: DataFrame, keys: Sequence[str] = ("run",)) -> DataFrame:
 
 
 def rank_trials(log: DataFrame, keys: Sequence[str] = ("run", "stage"), task_rows: int = TASK_ROWS) -> DataFrame:
-    """Rank by score, best = 1, ties share the lowest rank."""
-    ordered = number_rows(log, keys, [F.desc_nulls_last("score"), F.col("iter")], "__pos", task_rows)
-    if longest_run(ordered, "__pos", keys) is not None:
+    """Rank by score, best = 1, ties share the lowest rank.
+
+    Groups known to fit a task are ranked by a window.  Otherwise ranks come from the counts of the scores and are joined to the rows:
+    scores of more than ``task_rows`` rows, of which there are at most rows / ``task_rows``, by broadcast, the others by shuffle.
+    """
+    from trialwright.operators.stats import cumulative_counts
+
+    keys = list(keys)
+    bound = longest_run(log, "iter", keys) if "iter" in log.columns else None
+    if bound is not None and bound <= task_rows:
         window = W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc_nulls_last("score"))
-        return ordered.withColumn("rank", F.rank().over(window).cast("bigint")).drop("__pos")
-    # A tie may be as large as its group: its first position is sent to each slice of positions it covers.
-    slice_of = lambda pos: F.floor(F.col(pos) / task_rows)
-    ties = ordered.groupBy(*keys, "score").agg(F.min("__pos").alias("rank"), F.max("__pos").alias("__last"))
-    ties = ties.withColumn("__slice", F.explode(F.sequence(slice_of("rank"), slice_of("__last")))).drop("__last")
-    ordered = ordered.withColumn("__slice", slice_of("__pos"))
-    same = [ordered[c].eqNullSafe(ties[c]) for c in [*keys, "score"]] + [ordered["__slice"] == ties["__slice"]]
-    return ordered.join(ties, same).select(*[ordered[c] for c in log.columns], ties["rank"])
+        return log.withColumn("rank", F.rank().over(window).cast("bigint"))
+    counts = cumulative_counts(log, "score", keys, True, task_rows)
+    ranks = materialize(counts.select(*keys, "score", "n", (F.col("upto") - F.col("n") + 1).alias("rank")), "ranks")
+    hot = F.broadcast(ranks.where(F.col("n") > task_rows).drop("n"))
+    ranked = join_keys(log, hot, [*keys, "score"])
+    rest = join_keys(ranked.where("rank IS NULL").drop("rank"), ranks.where(F.col("n") <= task_rows).drop("n"), [*keys, "score"], "inner")
+    return ranked.where("rank IS NOT NULL").unionByName(rest)
 
 
 def top_k(log: DataFrame, k: int = 5, tie_break: Sequence[str] = ("experiment", "run", "iter")) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trialwright.operators.boost import Binned, fit_boosted, pair_batches
 from trialwright.operators.evaluate import fold_summary
 from trialwright.operators.propose import (
-    config_history, epsilon_greedy, propose_ei, propose_tpe, top_proposals)
+    config_history, epsilon_greedy, propose_batch, propose_ei, propose_tpe, top_proposals)
 from trialwright.operators.space import Param, distinct_random_candidates, grid_candidates, random_candidates
 from trialwright.operators.stop import plateau_stop
 from trialwright.operators.trials import distinct_configs, union_trials
@@ -67,9 +67,28 @@ def cross_validate(data: Binned, candidates: DataFrame, k: int, frozen: Mapping[
     return log, metrics
 
 
-def cv_objective(data: Binned, k: int, seed: int = 0) -> Callable[[Mapping[str, float]], Objective]:
-    """Objective factory of the booster: frozen parameters to cross-validated scores of candidates."""
-    return lambda frozen: lambda candidates: cross_validate(data, candidates, k, frozen, seed)[0]
+def cv_objective(data: Binned, k: int, seed: int = 0, pairs_per_pass: int = PAIRS_PER_PASS,
+                 metrics_path: str | None = None) -> Callable[[Mapping[str, float]], Objective]:
+    """Objective factory of the booster: frozen parameters to cross-validated scores of candidates.
+
+    ``pairs_per_pass`` is the number of (trial, fold) pairs that grow together.  With ``metrics_path`` the metrics of every round are
+    appended there, one set of files a batch.
+    """
+
+    def factory(frozen: Mapping[str, float]) -> Objective:
+        def objective(candidates: DataFrame) -> DataFrame:
+            log, metrics = cross_validate(data, candidates, k, frozen, seed, pairs_per_pass)
+            if metrics_path is not None:
+                params = {c for c in candidates.columns if c != "trial_id"}
+                named = metrics.join(candidates, "trial_id").withColumns({n: F.lit(float(v)) for n, v in frozen.items() if n not in params})
+                columns = sorted(set(named.columns) - set(metrics.columns))
+                pairs = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])
+                named.select(*metrics.columns, pairs.alias("params")).write.mode("append").parquet(metrics_path)
+            return log
+
+        return objective
+
+    return factory
 
 
 def nan_to_null(score: str) -> Column:
@@ -77,7 +96,7 @@ def nan_to_null(score: str) -> Column:
     return F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
 
 
-def skip_finished(candidates: DataFrame,finished: DataFrame | None, params: Sequence[str]) -> DataFrame:
+def skip_finished(candidates: DataFrame, finished: DataFrame | None, params: Sequence[str]) -> DataFrame:
     """Candidates whose configuration has no finished trial."""
     if finished is None:
         return candidates
@@ -97,6 +116,7 @@ class Stage:
     pool: int = 256
     epsilon: float = 0.0
     max_no_improve: int | None = None
+    believe: str | None = None  # mean or best: trials of a batch are picked one after another, each believed (mode ei)
 
 
 @dataclass
@@ -117,7 +137,7 @@ def propose(spark: SparkSession, stage: Stage, finished: DataFrame | None, done:
     start = done if start is None else start
     if stage.mode in ("grid", "distinct"):
         every = (grid_candidates(spark, stage.grid) if stage.mode == "grid" else
-                 _renumber(distinct_random_candidates(spark, stage.space, stage.budget, seed).orderBy("trial_id"), 0))
+                 distinct_random_candidates(spark, stage.space, stage.budget, seed))
         left = every if finished is None else every.join(finished.select("trial_id"), "trial_id", "left_anti")
         return left.orderBy("trial_id").limit(n)
     fresh = random_candidates(spark, stage.space, n, seed, start=start)
@@ -131,9 +151,13 @@ def propose(spark: SparkSession, stage: Stage, finished: DataFrame | None, done:
     else:
         pool = random_candidates(spark, stage.space, stage.pool, seed + 1, start=start * stage.pool)
     pool = skip_finished(distinct_configs(pool, names), finished, names)
-    scored, value = ((propose_tpe(history, pool, stage.space, ()), "log_ratio") if stage.mode == "tpe"
-                     else (propose_ei(history, pool, stage.space, ()), "ei"))
-    best = _renumber(top_proposals(scored, value, n, ()).drop(value), start)
+    if stage.mode == "ei" and stage.believe:
+        best = propose_batch(history, pool, stage.space, n, (), stage.believe).drop("ei", "pick")
+    else:
+        scored, value = ((propose_tpe(history, pool, stage.space, ()), "log_ratio") if stage.mode == "tpe"
+                         else (propose_ei(history, pool, stage.space, ()), "ei"))
+        best = top_proposals(scored, value, n, ()).drop(value)
+    best = _renumber(best, start)
     return epsilon_greedy(best, fresh, stage.epsilon, seed, ["trial_id"]) if stage.epsilon else best
 
 

@@ -53,6 +53,14 @@ def _(spark, sf):
     return curves.extend_runs(views.events_log(spark, sf), expand=False).select("run", "from_iter", "to_iter", "score")
 
 
+@query("q_extended_rows", f"""WITH {OD}, e AS (SELECT experiment, run, max(iter) AS last, max(score) AS score FROM od GROUP BY ALL), m AS (
+    SELECT experiment, max(last) AS longest FROM e GROUP BY experiment)
+    SELECT experiment, run, unnest(range(last + 1, longest + 1)) AS iter, score FROM e JOIN m USING (experiment)""")
+def _(spark, sf):
+    """The rows that pad every stopped run to the longest one of its method."""
+    return curves.extend_runs(views.orders_log(spark, sf)).select("experiment", "run", "iter", "score")
+
+
 @query("q_extended_curve", f"""WITH {EV}, {_stop_sql('ev', 10)}, e AS (
     SELECT experiment, run, max(iter) AS last, max(score) AS best FROM cut GROUP BY ALL), padded AS (
     SELECT experiment, iter, best FROM cut

@@ -62,8 +62,17 @@ def _(spark, sf):
 @query("q_shuffle_rows", f"""SELECT o_orderkey, row_number() OVER (ORDER BY {uniform_sql('o_orderkey', seed=7)}, o_orderkey) AS position
     FROM orders""")
 def _(spark, sf):
-    orders = views.table(spark, sf, "orders").select("o_orderkey").withColumn("u", uniform("o_orderkey", seed=7))
-    return number_rows(orders, [], ["u", "o_orderkey"], "position").select("o_orderkey", "position")
+    return prep.shuffle_rows(views.table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 7, "position")
+
+
+@query("q_split_features_label", """SELECT 'l_quantity,l_discount' AS features, 'l_tax' AS label, count(*) AS n,
+    round(sum(l_quantity) + sum(l_discount), 4) AS feature_sum, round(sum(l_tax), 4) AS label_sum FROM lineitem""")
+def _(spark, sf):
+    """The label is the last column, whatever it is called."""
+    li = prep.move_column_last(views.table(spark, sf, "lineitem").select("l_tax", "l_quantity", "l_discount"), "l_tax")
+    names, label = prep.split_features_label(li)
+    sums = li.agg(F.count("*").alias("n"), sum(F.sum(c) for c in names).alias("feature_sum"), F.sum(label).alias("label_sum"))
+    return rounded(sums.select(F.lit(",".join(names)).alias("features"), F.lit(label).alias("label"), "*"), "feature_sum", "label_sum", places=4)
 
 
 @query("q_random_split", f"""SELECT o_orderkey, CASE WHEN {uniform_sql('o_orderkey', seed=18)} < 0.7 THEN 'train' ELSE 'test' END AS side
@@ -141,18 +150,23 @@ def _(spark, sf):
     return rounded(space.random_candidates(spark, SPACE, 20, runs=runs), "alpha", "subsample", places=9)
 
 
-@query("q_random_distinct", f"""WITH r AS (SELECT min(l_linenumber) AS a, max(l_linenumber) AS b, CAST(min(l_quantity) AS BIGINT) AS c,
-    CAST(max(l_quantity) AS BIGINT) AS d FROM lineitem), draws AS (
-    SELECT trial_id, CAST(a + floor({uniform_sql('trial_id', "'line'")} * (b - a + 1)) AS DOUBLE) AS line,
-           CAST(c + floor({uniform_sql('trial_id', "'quantity'")} * (d - c + 1)) AS DOUBLE) AS quantity
-    FROM r, (SELECT range AS trial_id FROM range(0, 20000))), firsts AS (
-    SELECT min(trial_id) AS trial_id, line, quantity FROM draws GROUP BY line, quantity)
-    SELECT trial_id, line, quantity FROM firsts ORDER BY trial_id LIMIT 100""")
+_OTHER = f"((n + ({hash_sql('r', "'pair'")} - spot) % n) % n)"
+
+
+@query("q_random_distinct", f"""WITH e AS (SELECT min(l_linenumber)::BIGINT AS a, min(l_quantity)::BIGINT AS c, (max(l_linenumber) - min(l_linenumber) + 1)::BIGINT AS lines,
+    (max(l_quantity) - min(l_quantity) + 1)::BIGINT AS quantities FROM lineitem), points AS (
+    WITH RECURSIVE walk(trial_id, n, r, spot) AS (
+        SELECT t, lines * quantities, 0::BIGINT, t FROM (SELECT *, unnest(range(0, lines * quantities)) AS t FROM e) UNION ALL
+        SELECT trial_id, n, r + 1, CASE WHEN {hash_sql('r', f'greatest(spot, {_OTHER})')} % 2 = 1 THEN {_OTHER} ELSE spot END
+        FROM walk WHERE r < 6 * (floor(log2(n - 1)) + 1))
+    SELECT trial_id, spot FROM walk WHERE r = 6 * (floor(log2(n - 1)) + 1))
+    SELECT trial_id, (a + spot // quantities)::DOUBLE AS line, (c + spot % quantities)::DOUBLE AS quantity FROM points, e""")
 def _(spark, sf):
+    """All points of a space, in a random order, each once."""
     ends = views.table(spark, sf, "lineitem").agg(
         F.min("l_linenumber"), F.max("l_linenumber"), F.min("l_quantity"), F.max("l_quantity")).first()
     found = [space.Param("line", "int", ends[0], ends[1], inclusive=True), space.Param("quantity", "int", ends[2], ends[3], inclusive=True)]
-    return space.distinct_random_candidates(spark, found, 100)
+    return space.distinct_random_candidates(spark, found, int(found[0].size * found[1].size))
 
 
 # Folds and metrics

@@ -132,6 +132,14 @@ def _(spark, sf):
     return trials.rank_trials(views.staged_events(spark, sf).select("run", "stage", "iter", "score"))
 
 
+@query("q_rank_ties", f"""WITH {LI} SELECT experiment, run, iter, rank() OVER (PARTITION BY experiment ORDER BY l.score DESC) AS rank
+    FROM (SELECT experiment, run, iter, floor(score / 20000) AS score FROM li) l""")
+def _(spark, sf):
+    """Few different scores, each of very many rows: ranks come from counts."""
+    log = views.lines_log(spark, sf).withColumn("score", F.floor(F.col("score") / 20000))
+    return trials.rank_trials(log, ["experiment"]).drop("score")
+
+
 @query("q_topk", f"WITH {LI} SELECT experiment, run, iter, score FROM li ORDER BY score DESC, experiment, run, iter LIMIT 5")
 def _(spark, sf):
     return trials.top_k(views.lines_log(spark, sf), 5)
@@ -162,6 +170,14 @@ def _(spark, sf):
     return trials.distinct_configs(ev, ["event_type", "k"], "event_id").withColumnRenamed("event_id", "trial_id")
 
 
+@query("q_except_columns", f"""WITH {EV} SELECT run, stage, round(avg(score), 6) AS score, max(iter) AS iter FROM ev GROUP BY ALL""")
+def _(spark, sf):
+    """Columns of a log but for the ids and texts, each with its own aggregate."""
+    log = views.staged_events(spark, sf, "event_type")
+    left = trials.except_columns(log.columns, ["experiment", "event_type"], ["run", "stage"])
+    return rounded(log.groupBy("run", "stage").agg(*[{"score": F.avg, "iter": F.max}[c](c).alias(c) for c in left]), "score")
+
+
 @query("q_ordered_summary", f"""WITH {OD}, b AS (SELECT experiment AS method, run, max(score) AS s FROM od GROUP BY ALL)
     SELECT method, round(avg(s), 6) AS mean, CAST(CASE method WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS INTEGER) AS ord
     FROM b WHERE method IN ('5-LOW', '1-URGENT', '3-MEDIUM') GROUP BY method""")

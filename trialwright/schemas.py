@@ -25,6 +25,14 @@ def _splits(k: int) -> list[str]:
 
 # Header layouts of recorded trial logs, column order included (fixed values).
 TRIAL_LAYOUTS = {
+    "random_all": T.StructType(
+        _double(*TIMES, "param_alpha", "param_colsample_bytree", "param_lambda", "param_max_depth", "param_min_child_weight", "param_subsample")
+        + _PARAMS + _double(*_splits(5), "mean_test_score", "std_test_score") + [_TAIL[0], _TAIL[3], _TAIL[2]]
+    ),
+    "random_stage_1": T.StructType(
+        _double(*TIMES, "param_max_depth", "param_min_child_weight") + _PARAMS
+        + _double(*_splits(5), "mean_test_score", "std_test_score") + [_TAIL[0], _TAIL[2], _TAIL[3]]
+    ),
     "random_stages_2_3": T.StructType(
         _double(*TIMES, "param_alpha", "param_lambda") + _PARAMS
         + _double(*_splits(5), "mean_test_score", "std_test_score") + _TAIL

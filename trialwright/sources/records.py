@@ -7,8 +7,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialwright.operators.scan import join_runs
 from trialwright.schemas import STEP
 from trialwright.sources.trials import file_name
+from trialwright.sources.versions import append_log, read_log
 
 SUMMARY_MAP = "map<string,struct<mean:double,std:double>>"
 MAX_METHODS = 10_000
@@ -47,10 +49,19 @@ def count_events(spark: SparkSession, path: str) -> DataFrame:
 def concat_event_logs(first: DataFrame, resumed: DataFrame) -> DataFrame:
     """Append a resumed log, its step numbers shifted by the last step of the first part."""
     last = first.groupBy("run").agg(F.max("iter").alias("__last"))
-    shifted = resumed.join(last, "run", "left").withColumn("iter", F.col("iter") + F.coalesce("__last", F.lit(0)))
+    shifted = join_runs(resumed, last, ["run"]).withColumn("iter", F.col("iter") + F.coalesce("__last", F.lit(0)))
     return first.unionByName(shifted.drop("__last"))
 
 
+def append_event_log(resumed: DataFrame, path: str) -> int:
+    """Append a resumed part to a versioned step log, its steps numbered on; the steps that are there are not rewritten."""
+    spark = resumed.sparkSession
+    first = read_log(spark, path)
+    last = first.groupBy("run").agg(F.max("iter").alias("__last"))
+    shifted = join_runs(resumed, last, ["run"]).withColumn("iter", F.col("iter") + F.coalesce("__last", F.lit(0)))
+    return append_log(shifted.select(*first.columns), path)
+
+
 def write_run_info(spark: SparkSession, path: str, search: str, seconds: float, best_params: dict[str, float],
                    best_score: float) -> None:
     """Append one record per search: total time and best configuration."""

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from trialwright.functions.params import nan_to_null, parse_params
 from trialwright.schemas import TRIAL_LAYOUTS
+from trialwright.sources.versions import rewrite_log
 
 RENAMES = {"mean_test_score": "score", "std_test_score": "score_std", "rank_test_score": "rank",
            "iter_num": "iter", "experiment_name": "experiment", "run_number": "run"}
@@ -59,3 +60,9 @@ def rewrite_run_number(log: DataFrame, path: str, by: Sequence[str] = ("experime
     """Write the log to a new path with the run id its file name gives."""
     fixed = log.withColumn("run", F.coalesce("file_run", "run"))
     write_trials(fixed, path, by)
+
+
+def rewrite_runs(spark: SparkSession, path: str, run: Column | None = None, by: Sequence[str] = ()) -> int:
+    """Give a versioned log new run ids in place (those of its file names); readers see the old log until the new one is whole."""
+    new = F.coalesce("file_run", "run") if run is None else run
+    return rewrite_log(spark, path, lambda log: log.withColumn("run", new), by)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from trialwright.operators.scan import join_runs, prefix_scan
 from trialwright.schemas import STEP
-from trialwright.session import materialize, scratch_path
+from trialwright.session import scratch_path
+from trialwright.streaming.live import stops
 
 
 def log_steps(log: DataFrame, path: str) -> None:
@@ -31,58 +31,24 @@ def on_step(steps: DataFrame) -> DataFrame:
         "run", "steps", F.col("b.score").alias("best_score"), (-F.col("b.i")).alias("best_iter"))
 
 
-_STATE = "best double, held long, last_iter long, stopped boolean"
-
-
-def live_stop(steps: DataFrame, n: int, path: str, threshold: float | None = None, **trigger) -> StreamingQuery:
+def live_stop(steps: DataFrame, n: int, path: str, threshold: float | None = None, forget_minutes: float | None = None, **trigger) -> StreamingQuery:
     """Write (run, stop_iter, best) once a run's best has held for n scored steps or reached a threshold.
 
-    Each micro-batch is scanned with the batch operators, so one busy run is still many tasks; between
-    batches a run is four numbers in a table versioned by batch id, which makes a retried batch rewrite
-    the same files.  Steps at or before a run's last one are replays and are ignored.
+    A run's state is four numbers in the state store; only runs with new steps are read and written.  A restart goes on from
+    the checkpoint under ``path``, and a batch that is run again writes its stops once.  Steps at or before a run's last one are
+    repeats and are ignored.  The state of a run without new steps for ``forget_minutes`` is dropped; as that needs a query that goes on,
+    such a query looks for steps every ten seconds until it is stopped.
     """
-    run_type = steps.schema["run"].dataType.simpleString()
-    schema = f"run {run_type}, {_STATE}"
-
-    def advance(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = (spark.read.schema(schema).parquet(f"{path}/state/version={batch_id - 1}") if batch_id
-                 else spark.createDataFrame([], schema))
-        seen = state.select("run", F.col("best").alias("s_best"), F.col("held").alias("s_held"), "last_iter", "stopped")
-        fresh = join_runs(batch.select("run", "iter", "score"), seen, ["run"]).where(
-            ~F.coalesce("stopped", F.lit(False)) & (F.col("iter") > F.coalesce("last_iter", F.lit(-1))))
-        scan = prefix_scan(fresh, ["run"], {"top": ("max", "score"), "pos": ("count", "score")})
-        scan = materialize(scan.withColumn("best", F.greatest("top", "s_best")).select(
-            "run", "iter", "score", "best", "pos", "s_best", "s_held"), "steps")
-        carried = F.when(F.col("best") == F.col("s_best"), F.col("s_held")).otherwise(0)
-        plateaus = scan.where(F.col("score").isNotNull()).groupBy("run", "best").agg(
-            F.count("*").alias("length"), F.min("pos").alias("first_pos"), F.max(carried).alias("carried"))
-        reached = F.when(F.col("length") + F.col("carried") >= n, F.col("first_pos") + n - F.col("carried") - 1)
-        if threshold is not None:
-            reached = F.least(reached, F.when(F.col("best") >= threshold, F.col("first_pos")))
-        runs = plateaus.groupBy("run").agg(
-            F.min(reached).alias("stop_pos"), F.max("best").alias("best"),
-            F.max_by(F.col("length") + F.col("carried"), "best").alias("held"))
-        scored = scan.where(F.col("score").isNotNull())
-        stops = join_runs(scored, runs.where("stop_pos IS NOT NULL").select("run", "stop_pos"), ["run"], "inner").where(
-            F.col("pos") == F.col("stop_pos"))
-        stops.select("run", F.col("iter").alias("stop_iter"), "best").write.mode("overwrite").parquet(
-            f"{path}/stops/batch={batch_id}")
-        last = scan.groupBy("run").agg(F.max("iter").alias("last"))
-        old = state.select("run", *[F.col(c).alias(f"o_{c}") for c in ("best", "held", "last_iter", "stopped")])
-        merged = old.join(last, "run", "full").join(runs, "run", "left")
-        merged.select(
-            "run", F.coalesce("best", "o_best").alias("best"), F.coalesce("held", "o_held", F.lit(0)).alias("held"),
-            F.coalesce("last", "o_last_iter").alias("last_iter"),
-            (F.coalesce("o_stopped", F.lit(False)) | F.col("stop_pos").isNotNull()).alias("stopped"),
-        ).write.mode("overwrite").parquet(f"{path}/state/version={batch_id}")
-
-    return steps.writeStream.foreachBatch(advance).option("checkpointLocation", f"{path}/progress").trigger(
-        **(trigger or {"availableNow": True})).start()
+    if forget_minutes is not None:
+        if "availableNow" in trigger or "once" in trigger:
+            raise ValueError("a query that forgets runs until it is stopped")
+        trigger = trigger or {"processingTime": "10 seconds"}
+    return stops(steps, n, threshold, forget_minutes).writeStream.format("parquet").option("path", f"{path}/stops").option(
+        "checkpointLocation", f"{path}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_stops(spark: SparkSession, path: str, run_type: str = "string") -> DataFrame:
-    return spark.read.schema(f"run {run_type}, stop_iter long, best double").parquet(f"{path}/stops/batch=*")
+    return spark.read.schema(f"run {run_type}, stop_iter long, best double").parquet(f"{path}/stops")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", key: str = "run") -> DataFrame:
@@ -107,10 +73,10 @@ def run_to_table(stream: DataFrame, mode: str = "append", key: str = "run") -> D
     return out.groupBy(key).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(key, "r.*")
 
 
-def follow(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Call back with each micro-batch of changed rows; a restart goes on from the checkpoint."""
-    return stream.writeStream.outputMode("update").foreachBatch(callback).option(
-        "checkpointLocation", checkpoint).start()
+def follow(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Call back with each micro-batch of changed rows; a restart goes on from the checkpoint.  Without a trigger it goes on for ever."""
+    writer = stream.writeStream.outputMode("update").foreachBatch(callback).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def remaining_budget(log: DataFrame, budget: int) -> DataFrame:
