@@ -35,8 +35,8 @@ from trialwright.llm.registry import query
 
 # Minimum hashes under which sets meet, and the sets of a part.
 MEETINGS, PART_SETS = 3, 100
-# Entries of one slice of an inverted list.
-SLICE = 4096
+# Entries of one slice of an inverted list.  Parts of fewer sets than the second number share their slices.
+SLICE, SMALL_PART = 4096, 64
 # The weight of probing against merging in DivideSkip's choice of L.
 MU = 0.01
 LOW = np.uint64((1 << 40) - 1)
@@ -325,8 +325,8 @@ def exact_links(live: DataFrame, parts: DataFrame, limits: Limits) -> DataFrame:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The short lists' entries of each set: as the smaller one of a pair (listed), and as the larger one (asking)."""
         for batch in batches:
-            columns = [[] for _ in range(6)]
-            for a, root, n, u, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+            columns = [[] for _ in range(7)]
+            for a, root, n, u, big, data in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
                 shingles = np.frombuffer(data.as_buffer(), np.int64)
                 k = limits.occurrences(n)
                 asking = max(0, n - limits.least(n) + k - u)
@@ -334,30 +334,32 @@ def exact_links(live: DataFrame, parts: DataFrame, limits: Limits) -> DataFrame:
                 for is_asking, upto in ((True, asking), (False, listed)):
                     upto = min(upto, len(shingles))
                     columns[0].append(shingles[:upto])
-                    for column, value in zip(columns[1:], (is_asking, a, root, n, len(shingles))):
+                    for column, value in zip(columns[1:], (is_asking, a, root, n, len(shingles), big)):
                         column.append(np.full(upto, value))
-            kinds = np.int64, np.bool_, np.int64, np.int64, np.int64, np.int64
+            kinds = np.int64, np.bool_, np.int64, np.int64, np.int64, np.int64, np.int64
             arrays = [pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["shingle", "asking", "class", "root", "n", "r"])
+            yield pa.RecordBatch.from_arrays(arrays, ["shingle", "asking", "class", "root", "n", "r", "big"])
 
     rooted = live.join(parts, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), "n", "u", "shingles")
-    rooted = materialize(rooted, "rooted")
-    entries = materialize(rooted.mapInArrow(lists, "shingle bigint, asking boolean, class bigint, root bigint, n bigint, r bigint"), "list_entries")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("sets")).filter(F.col("sets") >= SMALL_PART)
+    big = F.coalesce(F.ceil(F.col("sets") / SLICE), F.lit(0)).cast("bigint").alias("big")
+    rooted = materialize(rooted.join(sizes, "root", "left").select("class", "root", "n", "u", big, "shingles"), "rooted")
+    entries = materialize(rooted.mapInArrow(lists, "shingle bigint, asking boolean, class bigint, root bigint, n bigint, r bigint, big bigint"), "list_entries")
     mixed = entries.groupBy("shingle").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("shingle")
     open_lists = materialize(entries.join(mixed, "shingle"), "open_lists")
-    # Lists cut by part and slice.  Entries of one set are in slices of the same number in all lists.
-    sizes = rooted.groupBy("root").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
-    listed = open_lists.filter("NOT asking").join(sizes, "root")
-    cut = listed.groupBy("shingle", "root", F.pmod(F.xxhash64("class"), F.col("slices")).alias("slice")).agg(
-        F.sort_array(F.collect_list(F.struct("class", "n", "r"))).alias("list"))
-    cut = cut.select("shingle", F.col("root").alias("other"), "slice", F.col("list.class").alias("sets"), F.col("list.n").alias("sizes"), F.col("list.r").alias("shared"))
+    # A large part has slices of its own, which its own sets never read; the others share some.  All entries of a set are in
+    # slices of one number.
+    listed = open_lists.filter("NOT asking")
+    longest = listed.filter("big = 0").groupBy("shingle").count().agg(F.max("count")).first()[0] or 0
+    slices = F.when(F.col("big") > 0, F.col("big")).otherwise(F.lit(longest // SLICE + 1))
+    cut = listed.groupBy("shingle", F.when(F.col("big") > 0, F.col("root")).alias("other"), F.pmod(F.xxhash64("class"), slices).alias("slice")).agg(
+        F.collect_list(F.struct("class", "root", "n", "r")).alias("list"))
     asking = open_lists.filter("asking").select("shingle", "class", "root", "n", "r")
-    asked = asking.join(cut, "shingle").filter("root <> other").select("class", "slice", "n", "r", "sets", "sizes", "shared")
+    asked = asking.join(cut, "shingle").filter("other IS NULL OR other <> root")
     # Only entries that may link by size: the smaller set is listed, ties go by the class.
-    asked = asked.withColumn("entries", F.arrays_zip("sets", "sizes", "shared")).select("class", "slice", "n", "r", F.filter("entries", lambda x: (
-        (x.sizes < F.col("n")) | ((x.sizes == F.col("n")) & (x.sets < F.col("class")))) & (
-        F.least("r", x.shared) * (100 + limits.percent) >= limits.percent * (x.sizes + F.col("n")))).alias("entries"))
-    asked = asked.filter(F.size("entries") > 0).select("class", "slice", "n", F.col("entries.sets").alias("list"))
+    may = F.filter("list", lambda x: (x.root != F.col("root")) & ((x.n < F.col("n")) | ((x.n == F.col("n")) & (x["class"] < F.col("class")))) & (
+        F.least("r", x.r) * (100 + limits.percent) >= limits.percent * (x.n + F.col("n"))))
+    asked = asked.select("class", "slice", "n", F.transform(may, lambda x: x["class"]).alias("list")).filter(F.size("list") > 0)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[int]] = []
