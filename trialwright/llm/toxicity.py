@@ -21,6 +21,8 @@ from trialwright.llm.common import chunks, crc32_of_id, materialize, prepare, ta
 from trialwright.llm.registry import query
 
 HASH_BITS = 22
+# Buckets of the hash that picks the fitted rows.
+SAMPLE_BUCKETS = 4096
 
 _LOWER = np.arange(256).astype(np.uint8)
 _LOWER[65:91] += 32
@@ -112,7 +114,7 @@ def train(examples: DataFrame, max_rows: int = 12_000, max_terms: int = 2048, mi
     """Machine from all rows (label, text) of ``examples``.
 
     Terms are ranked by the chi-square of their counts under both labels, over all rows; the best ``max_terms`` of at least
-    ``min_chi2`` are kept.  Both labels weigh the same in the loss.  At most ``max_rows`` rows, chosen by a hash of their terms, are fitted on the driver.
+    ``min_chi2`` are kept.  Both labels weigh the same in the loss.  At most ``max_rows`` rows, whole buckets of a hash of all their terms, are fitted on the driver.
     NULL labels do not count, NULL texts are empty.  Without rows the machine scores every text 0.5.
     """
     rows = examples.filter("label IS NOT NULL").select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
@@ -125,7 +127,6 @@ def train(examples: DataFrame, max_rows: int = 12_000, max_terms: int = 2048, mi
     chi2 = gap * gap * total / spread
     best = counts.filter(chi2 >= min_chi2).orderBy(chi2.desc(), "term").limit(max_terms)
     kept = np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)
-    sample = found.orderBy(F.xxhash64("terms")).limit(max_rows) if total > max_rows else found
     known = np.zeros(1 << HASH_BITS, bool)
     known[kept] = True
     known = found.sparkSession.sparkContext.broadcast(np.packbits(known))
@@ -134,10 +135,17 @@ def train(examples: DataFrame, max_rows: int = 12_000, max_terms: int = 2048, mi
         flags = np.unpackbits(known.value).astype(bool)
         for batch in batches:
             lists = [t[flags[t]] for t in (x.values.to_numpy(zero_copy_only=False) for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["label", "terms"])
-
-    slim = sample.mapInArrow(only_kept, "label int, terms array<int>")
-    data = [(r[0], np.array(r[1], np.int64)) for r in slim.collect()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), batch.column(2)], ["label", "terms", "bucket"])
+
+    hashed = found.select("label", "terms", F.pmod(F.xxhash64("terms"), F.lit(SAMPLE_BUCKETS)).alias("bucket"))
+    slim = materialize(hashed.mapInArrow(only_kept, "label int, terms array<int>, bucket bigint"), "kept_terms")
+    # Whole buckets of the hash, as many as fit; with few rows that is all of them.
+    taken, room = [], max_rows
+    for bucket, n in sorted(tuple(r) for r in slim.groupBy("bucket").count().collect()):
+        if n <= room:
+            taken.append(bucket)
+            room -= n
+    data = [(r[0], np.array(r[1], np.int64)) for r in slim.filter(F.col("bucket").isin(taken)).select("label", "terms").collect()]
     data.sort(key=lambda e: (e[0], e[1].tobytes()))
     return fit(data, kept, factors, epochs, l2)
 
