@@ -182,6 +182,7 @@ def op4(spark, sf_dir):
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     labels = table(spark, sf_dir, "labels").filter(~held_out()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").alias("label"))
-    machine = train(docs.join(labels, "doc_id").select("label", "text"))
+    # The same join at every size: only rows that may be learned from are dealt by id.
+    machine = train(docs.filter(~held_out()).join(labels.hint("merge"), "doc_id").select("label", "text"))
     out = score_texts(docs, machine)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
