@@ -1,7 +1,7 @@
 """Token store: raw id files in ascending order of id, and a minimal perfect hash index over their keys.
 
 Documents are range-partitioned by id; each task encodes its range and writes shards: a header, the places of the
-documents, then all ids as little-endian unsigned 32-bit integers.  A second job deals the keys into index parts and
+documents, then all ids as little-endian unsigned integers of 16 or 32 bits, as they need.  A second job deals the keys into index parts and
 builds one minimal perfect hash per part: bit arrays in which each key ends alone in some level, ranks over them, a
 32-bit fingerprint per key and the places of its documents.  A lookup hashes the key, ranks one bit, compares the
 fingerprint and reads one range of one shard.
@@ -62,25 +62,28 @@ def read_file(path: str) -> memoryview:
 
 
 def write_shard(path: str, documents: list[bytes]) -> None:
+    """A shard of documents given as 32-bit ids; ids that all fit are stored in 16 bits."""
     places = np.zeros(len(documents) + 1, "<u8")
     np.cumsum([len(d) // 4 for d in documents], out=places[1:])
-    write_file(path, np.array([MAGIC, len(documents)], "<u8").tobytes(), places.tobytes(), *documents)
+    ids = np.frombuffer(b"".join(documents), "<u4")
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    write_file(path, np.array([MAGIC, len(documents), width], "<u8").tobytes(), places.tobytes(), ids.astype(f"<u{width}").tobytes())
 
 
 def read_shard(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Places of the shard's documents, and all its ids."""
     data = read_file(path)
-    n = int(np.frombuffer(data, "<u8", 2)[1])
-    return np.frombuffer(data, "<u8", n + 1, 16), np.frombuffer(data, "<u4", offset=16 + 8 * (n + 1))
+    _, n, width = np.frombuffer(data, "<u8", 3).tolist()
+    return np.frombuffer(data, "<u8", n + 1, 24), np.frombuffer(data, f"<u{width}", offset=24 + 8 * (n + 1)).astype("<u4", copy=False)
 
 
 def read_ids(path: str, ordinal: int) -> np.ndarray:
     """Ids of one document: its two places, then its range."""
     system, at = filesystem(path)
     with system.open_input_file(at) as f:
-        n = int(np.frombuffer(f.read_at(16, 0), "<u8")[1])
-        start, end = np.frombuffer(f.read_at(16, 16 + 8 * ordinal), "<u8").tolist()
-        return np.frombuffer(f.read_at(4 * (end - start), 16 + 8 * (n + 1) + 4 * start), "<u4")
+        _, n, width = np.frombuffer(f.read_at(24, 0), "<u8").tolist()
+        start, end = np.frombuffer(f.read_at(16, 24 + 8 * ordinal), "<u8").tolist()
+        return np.frombuffer(f.read_at(width * (end - start), 24 + 8 * (n + 1) + width * start), f"<u{width}").astype("<u4", copy=False)
 
 
 def key_hash(keys: np.ndarray) -> np.ndarray:
