@@ -13,6 +13,9 @@ from trialwright.llm.kernels import worker_cache
 MOST_WORDS = 1_000_000
 # A run of white space that would fall apart differently if texts were cut at its spaces.
 _TANGLED = re.compile(r"\s \s")
+# Places where both tokenizers begin a new piece: a full stop or comma between an ASCII letter or digit and the end of a
+# word, and a single line end between two words.
+_CUT = re.compile(r"(?<=[A-Za-z0-9])[.,](?=\n\S|\Z)|(?<=\S)\n(?=\S)")
 # A word that is not expected in texts, to find the ends of words encoded together.  Where it does occur, they go one by one.
 _MARK = " \x02"
 
@@ -21,8 +24,9 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     Both tokenizers used here cut a text into pieces before they merge, and no piece reaches over a single space into
-    the word after it.  A text is therefore cut before each space, and only words not seen yet go to the library.  Texts
-    with white space of three or more characters around a space, with a special token or a NUL in them, go there whole.
+    the word after it.  A text is therefore cut before each space, and only words not seen yet go to the library, cut again
+    before a full stop or comma that ends a word and before a single line end.  Where the tokenizer takes no notice of case,
+    A-Z are lower-cased first.  Texts with white space of three or more characters around a space, with a special token or a NUL in them, go there whole.
     """
 
     def __init__(self, path: str):
@@ -33,9 +37,9 @@ class Encoder:
 
             tokenizer = Tokenizer.from_file(path)
             special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-            mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
-            cache[path] = tokenizer, {}, special, mark
-        self.tokenizer, self.words, self.special, self.mark = cache[path]
+            mark, upper, lower = (tokenizer.encode(t, add_special_tokens=False).ids for t in (_MARK, "THE QUICK", "the quick"))
+            cache[path] = tokenizer, {}, special, mark, upper == lower
+        self.tokenizer, self.words, self.special, self.mark, self.caseless = cache[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,7 +57,12 @@ class Encoder:
         data, edges = ids.tobytes(), at.tolist()
         return [data[4 * a:4 * b] for a, b in zip([0, *[x + n for x in edges]], [*edges, len(ids)])]
 
-    def _learn(self, missing: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
+        cut = {w: parts for w in new if ("\n" in w or w[-1:] in (".", ",")) and len(parts := _CUT.sub("\0\\g<0>", w).split("\0")) > 1}
+        self._encode(list(new.difference(cut).union(*cut.values()).difference(self.words)))
+        self.words.update((w, b"".join(map(self.words.__getitem__, parts))) for w, parts in cut.items())
+
+    def _encode(self, missing: list[str]) -> None:
         plain = [w for w in missing if w[:1] == " " and len(w) > 1 and not w[-1].isspace()]
         rest = list(set(missing).difference(plain))
         for part, how in ((plain, self._together), (rest, self._whole)):
@@ -67,10 +76,11 @@ class Encoder:
                 whole[i] = text
                 cut.append(())
             else:
+                text = text.encode().lower().decode() if self.caseless else text
                 cut.append(text.replace(" ", "\0 ").split("\0"))
         if len(words) > MOST_WORDS:
             words.clear()
-        self._learn(list(set().union(*cut).difference(words)))
+        self._learn(set().union(*cut).difference(words))
         out = [b"".join(map(words.__getitem__, c)) for c in cut]
         for i, ids in zip(whole, self._whole(list(whole.values()))):
             out[i] = ids
