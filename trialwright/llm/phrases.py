@@ -120,7 +120,16 @@ def dedup_phrases(docs: DataFrame, into: str = "phrases") -> DataFrame:
     return out.select("doc_id", "text", F.struct("n_words", "n_removed").alias(into))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", """
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+lost AS (SELECT DISTINCT doc_id, i + d AS i FROM (SELECT windows.doc_id, i FROM windows JOIN firsts USING (k) WHERE least < doc_id), range(0, 50) t(d)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+kept AS (SELECT words.doc_id, count(lost.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (lost.i IS NULL) AS text
+         FROM words LEFT JOIN lost ON lost.doc_id = words.doc_id AND lost.i = words.i GROUP BY words.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""")
 def op9(spark, sf_dir):
     out = dedup_phrases(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "phrases.n_words", "phrases.n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -185,7 +185,20 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     return work.with_blocks(every, rewrite, "doc_id bigint, kept binary, spans array<struct<start:bigint,length:bigint>>, n_bytes bigint")
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", """
+WITH b AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM b WHERE length(h) >= 100)),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+lost AS MATERIALIZED (SELECT DISTINCT doc_id, i + d AS i FROM (SELECT windows.doc_id, i FROM windows JOIN firsts USING (k) WHERE least < doc_id), range(0, 50) t(d)),
+removed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before < i - 1) AS spans
+            FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM lost) GROUP BY doc_id),
+bytes AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM b WHERE doc_id IN (SELECT doc_id FROM removed))),
+kept AS (SELECT bytes.doc_id, string_agg(x, '' ORDER BY bytes.i) FILTER (lost.i IS NULL) AS h
+         FROM bytes LEFT JOIN lost ON lost.doc_id = bytes.doc_id AND lost.i = bytes.i GROUP BY bytes.doc_id)
+SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n > 0 THEN coalesce(kept.h, '') ELSE b.h END)) AS kept_sha256
+FROM b LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
 def op5(spark, sf_dir):
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
