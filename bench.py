@@ -13,7 +13,7 @@ HEADLINE = [
     "q_learning_curve", "q_running_best", "q_extended_curve", "q_stop_plateau_10", "q_stop_global_best_10",
     "q_plateaus", "q_stitch", "q_stop_summary", "q_best_per_run", "q_method_summary", "q_rank", "q_describe",
     "q_param_stats", "q_fold_metrics", "q_objective_sql", "q_kfold_contiguous", "q_hist_split", "q_propose_tpe",
-    "q_live_stop", "q_boost_stump_cv", "q_boost_cv",
+    "q_live_stop", "q_boost_stump_cv", "q_boost_cv", "q_propose_ei", "q_search_runs_cut", "q_rank_ties",
 ]
 
 

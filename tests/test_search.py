@@ -22,15 +22,19 @@ def sums_of(spark, rows, space_=SPACE, features=propose.FEATURES, parts=1):
 
 
 def test_posterior_follows_the_kernel(spark):
-    """With many features the posterior is that of the Gaussian process with an RBF kernel."""
-    x, y, scale, noise = np.array([0.0, 0.3, 0.5, 1.0]), np.array([0.0, 0.4, 1.0, 0.5]), 0.3, 0.01
-    posterior = propose.Posterior(sums_of(spark, [(float(a), float(b), 1) for a, b in zip(x, y)], features=4000), 4000, noise)
+    """The posterior is that of the Gaussian process whose kernel is the product of the features, which is about an RBF kernel."""
+    x, y, noise, basis = np.array([0.0, 0.3, 0.5, 1.0]), np.array([0.0, 0.4, 1.0, 0.5]), 0.1, propose.fourier_basis(1)
+    posterior = propose.Posterior(sums_of(spark, [(float(a), float(b), 1) for a, b in zip(x, y)]), propose.FEATURES, noise)
     at = np.array([0.5, 0.25, 0.9])
-    mu, sd = posterior.at(propose.basis_at(at[:, None], propose.fourier_basis(1, 4000)))
-    k = lambda p, q: np.exp(-((p[:, None] - q[None, :]) ** 2) / (2 * scale**2))
-    inverse = np.linalg.inv(k(x, x) + noise * np.eye(4))
-    assert mu == pytest.approx(y.mean() + k(at, x) @ inverse @ (y - y.mean()), abs=0.05)
-    assert sd == pytest.approx(y.std() * np.sqrt(1 - np.einsum("ij,jk,ik->i", k(at, x), inverse, k(at, x))), abs=0.08)
+    of = lambda points: propose.basis_at(points[:, None], basis)
+    mu, sd = posterior.at(of(at))
+    inverse = np.linalg.inv(of(x) @ of(x).T + noise * np.eye(4))
+    cross = of(at) @ of(x).T
+    assert mu == pytest.approx(y.mean() + cross @ inverse @ (y - y.mean()), abs=1e-8)
+    assert sd == pytest.approx(y.std() * np.sqrt((of(at) ** 2).sum(axis=1) - np.einsum("ij,jk,ik->i", cross, inverse, cross)), abs=1e-8)
+    points = np.linspace(0, 1, 11)
+    rbf = np.exp(-((points[:, None] - points[None, :]) ** 2) / (2 * propose.SCALE**2))
+    assert np.abs(of(points) @ of(points).T - rbf).max() < 0.35
 
 
 def test_repeats_equal_weights_and_parts_do_not_matter(spark):

@@ -127,9 +127,13 @@ def assemble_group_logs(stages: Sequence[DataFrame], keys: Sequence[str] = ("run
     return join_runs(log, whole, keys, "left_semi")
 
 
-def missing_runs(log: DataFrame, expected: Sequence[int] = range(1, 11)) -> DataFrame:
+def missing_runs(log: DataFrame, expected: Sequence[int] | DataFrame = range(1, 11)) -> DataFrame:
+    """Expected runs, listed or in a table's column run, without a row in the log."""
     spark = log.sparkSession
-    wanted = spark.range(min(expected), max(expected) + 1).toDF("run").where(F.col("run").isin(*expected))
+    if isinstance(expected, DataFrame):
+        wanted = expected.select(F.col("run").cast("bigint").alias("run")).distinct()
+    else:
+        wanted = spark.range(min(expected), max(expected) + 1).toDF("run").where(F.col("run").isin(*expected))
     return wanted.join(log.select(F.col("run").cast("bigint").alias("run")).distinct(), "run", "left_anti")
 
 

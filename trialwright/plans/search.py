@@ -21,7 +21,7 @@ from trialwright.operators.propose import (
 from trialwright.operators.space import Param, distinct_random_candidates, grid_candidates, random_candidates
 from trialwright.operators.stop import plateau_stop
 from trialwright.operators.trials import distinct_configs, union_trials
-from trialwright.session import materialize
+from trialwright.session import materialize, scratch_path
 
 MAX_TRIALS = 100_000
 PAIRS_PER_PASS = 64
@@ -30,11 +30,11 @@ PAIRS_PER_PASS = 64
 Objective = Callable[[DataFrame], DataFrame]
 
 
-def candidate_params(candidates: DataFrame, frozen: Mapping[str, float] | None = None) -> dict[int, dict[str, float]]:
+def candidate_params(candidates: DataFrame, frozen: Mapping[str, float] | None = None, max_trials: int = MAX_TRIALS) -> dict[int, dict[str, float]]:
     """The batch as driver state; its size is a search budget and is checked."""
-    rows = candidates.limit(MAX_TRIALS + 1).collect()
-    if len(rows) > MAX_TRIALS:
-        raise ValueError(f"more than {MAX_TRIALS} candidates in one batch")
+    rows = candidates.limit(max_trials + 1).collect()
+    if len(rows) > max_trials:
+        raise ValueError(f"more than {max_trials} candidates in one batch")
     names = [c for c in candidates.columns if c not in ("trial_id", "run")]
     return {r["trial_id"]: {**(frozen or {}), **{n: r[n] for n in names}} for r in rows}
 
@@ -177,7 +177,7 @@ def search_stage(spark: SparkSession, objective: Objective, stage: Stage, seed:
     ``finished`` resumes: its trials count against the budget and feed the proposals, and new ones are numbered
     after them.  A candidate whose score is NaN or that the objective leaves out is a trial with a NULL score.
     """
-    log, done, start = finished, 0, 0
+    log, done, start, path, batches = finished, 0, 0, scratch_path(spark, "log"), 0
     if finished is not None:
         done, last = finished.agg(F.count("*"), F.max("trial_id")).first()
         start = 0 if last is None else last + 1
@@ -195,7 +195,11 @@ def search_stage(spark: SparkSession, objective: Objective, stage: Stage, seed:
         scored = materialize(objective(batch).withColumn("score", nan_to_null("score")), "scored")
         unscored = batch.join(scored.select("trial_id"), "trial_id", "left_anti")
         scored = union_trials(scored, unscored).withColumn("iter", F.col("trial_id") + 1)
-        log = materialize(scored if log is None else union_trials(log, scored), "log")
+        # Each batch is written once, beside those before it.
+        scored.write.mode("overwrite").parquet(f"{path}/batch={batches}")
+        batches += 1
+        new = spark.read.schema(scored.schema).parquet(path).select(scored.columns)
+        log = new if finished is None else union_trials(finished, new)
         done, start = done + got, max(start, last + 1)
         if on_batch:
             on_batch(log, done)

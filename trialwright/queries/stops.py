@@ -139,11 +139,10 @@ def _(spark, sf):
     return stop.assemble_group_logs([p.select("run", "iter", "score") for p in parts])
 
 
-@query("q_missing_runs", """SELECT range AS run FROM range(0, 2000) WHERE range NOT IN (
-    SELECT user_id FROM events WHERE value > 30)""")
+@query("q_missing_runs", """SELECT c_custkey AS run FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE value > 30)""")
 def _(spark, sf):
     log = views.table(spark, sf, "events").where("value > 30").select(F.col("user_id").alias("run"))
-    return stop.missing_runs(log, range(0, 2000))
+    return stop.missing_runs(log, views.table(spark, sf, "customer").select(F.col("c_custkey").alias("run")))
 
 
 @query("q_stage_budget", f"""WITH {EV}, {_STAGE_STOP.format(name='s1', n=5, stage=1)}, {_STAGE_STOP.format(name='s2', n=5, stage=2)}

@@ -148,15 +148,14 @@ def _(spark, sf):
 
 @query("q_event_log_counts", "SELECT event_type AS run, count(*) AS steps, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def _(spark, sf):
-    """Steps counted per log file, one folder of files per event type."""
+    """Steps counted per log, a folder of files per event type."""
     path = scratch_path(spark, "steps")
     ev = views.table(spark, sf, "events").select("event_type", F.col("event_id").alias("iter"), F.col("value").alias("score"),
                                                   F.col("event_type").alias("run"))
     ev.write.partitionBy("event_type").json(path)
-    files = records.count_events(spark, f"{path}/*").agg(F.sum("steps").alias("all_steps"))
-    back = records.read_event_log(spark, f"{path}/*").groupBy("run").agg(F.count("*").alias("steps"), F.sum("score").alias("total"))
-    whole = files.select("all_steps").scalar()
-    return rounded(back.where(whole == ev.select(F.count("*").alias("n")).scalar()), "total", places=4)
+    counts = records.count_events(spark, f"{path}/*", folders=True).select(F.regexp_extract("folder", "=(.*)$", 1).alias("run"), "steps")
+    totals = records.read_event_log(spark, f"{path}/*").groupBy("run").agg(F.sum("score").alias("total"))
+    return rounded(counts.join(totals, "run"), "total", places=4)
 
 
 def _trial_lines(spark, sf):

@@ -24,9 +24,9 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
         "v.mean", "v.std")
 
 
-def summary_json(summary: DataFrame) -> DataFrame:
+def summary_json(summary: DataFrame, max_methods: int = MAX_METHODS) -> DataFrame:
     """The summary as one JSON object in column ``value``; one row per method, so the size is checked."""
-    if summary.limit(MAX_METHODS + 1).count() > MAX_METHODS:
+    if summary.limit(max_methods + 1).count() > max_methods:
         raise ValueError("a summary has one row per method")
     entry = F.struct(F.col("method").alias("key"), F.struct("mean", "std").alias("value"))
     return summary.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("value"))
@@ -40,10 +40,11 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STEP).json(path)
 
 
-def count_events(spark: SparkSession, path: str) -> DataFrame:
-    """Number of objects per file."""
+def count_events(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Number of objects per file, or per folder (column folder) of many files."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    return lines.groupBy(file_name().alias("file")).agg(F.count("*").alias("steps"))
+    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).alias("folder")
+    return lines.groupBy(folder if folders else file_name().alias("file")).agg(F.count("*").alias("steps"))
 
 
 def concat_event_logs(first: DataFrame, resumed: DataFrame) -> DataFrame:
