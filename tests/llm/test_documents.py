@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -163,6 +164,42 @@ def test_near_duplicates(docs, texts, key_rows):
     assert got == {i: (f"{p:016x}", least[root[p]]) for i, p in prints.items()}
 
 
+@pytest.mark.parametrize("more", [0, 1, 5])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_long_key_is_divided_whole(more, after):
+    """The rows of a key that come after its first part has left follow it, so that pairs across the cut meet again."""
+    rows = [(0, 0, fp) for fp in range(12 + more)] + ([(0, 1 << 32, 1 << 32), (0, 1 << 32, (1 << 32) + 1)] if after else [])
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("choice", "key", "fp"), zip(*rows[i:i + 6])))) for i in range(0, len(rows), 6)]
+    got = [r for b in simhash.scan(4, 10)(batches) for r in b.to_pylist()]
+    assert sorted(r["a"] for r in got if r["kind"] == simhash.DIVIDE) == list(range(12 + more))
+    assert [(r["a"], r["b"]) for r in got if r["kind"] == simhash.LINK] == ([((1 << 32) + 1, 1 << 32)] if after else [])
+
+
+def test_links_across_the_cut_of_a_long_key(spark):
+    """Pairs that meet under one key of 2100 fingerprints only, read in batches: every class of the plain version is one class."""
+    fps = [int(x) for x in np.random.default_rng(3).integers(0, 1 << 32, 1050)]
+    fps = sorted({*fps, *(f ^ 0x80808080 for f in fps)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    root = {f: f for f in fps}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = simhash.links(df, 4, 300).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for r in found:
+        assert (r.a ^ r.b).bit_count() <= 4
+        root[find(r.a)] = find(r.b)
+    want = classes(fps, 4)
+    assert len({find(f) for f in fps}) == len(set(want.values()))
+    assert all(find(f) == find(want[f]) for f in fps)
+
+
 def test_line_dedup(docs, texts):
     split = {i: (t or "").split("\n") for i, t in texts.items()}
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))

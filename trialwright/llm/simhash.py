@@ -87,8 +87,8 @@ def tree(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 def scan(max_bits: int, most: int | None):
     """Runs of equal (choice, key) in sorted rows: links of each, or the rows themselves where there are over ``most``."""
 
-    def flush(fps: np.ndarray, choice: int):
-        if most is not None and len(fps) > most:
+    def flush(fps: np.ndarray, choice: int, divide: bool = False):
+        if divide or most is not None and len(fps) > most:
             return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(fps), DIVIDE, np.int32)), "a": pa.array(fps.view(np.int64)),
                                                "b": pa.array(np.full(len(fps), choice, np.int64))})
         edges = np.array(tree(fps, max_bits), np.int64).reshape(-1, 2)
@@ -96,7 +96,7 @@ def scan(max_bits: int, most: int | None):
 
     def run(batches):
         held: list[np.ndarray] = []  # fingerprints of the run that may go on
-        last, dividing = None, False
+        last, dividing = None, False  # dividing: rows of this run have left to be divided, so the rest follows them
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -106,13 +106,13 @@ def scan(max_bits: int, most: int | None):
             ends = np.append(starts[1:], len(fp))
             if last is not None and (int(choice[0]), int(key[0])) != last:
                 if dividing or sum(map(len, held)) > 1:
-                    yield flush(np.concatenate(held), last[0])
+                    yield flush(np.concatenate(held), last[0], dividing)
                 held, dividing = [], False
             if len(starts) > 1:
                 first = np.concatenate([*held, fp[:ends[0]]])
-                if len(first) > 1:
-                    yield flush(first, int(choice[0]))
-                held = []
+                if dividing or len(first) > 1:
+                    yield flush(first, int(choice[0]), dividing)
+                held, dividing = [], False
                 inner, upto = starts[1:-1], ends[1:-1]
                 size = upto - inner
                 pairs = inner[size == 2]
@@ -132,9 +132,9 @@ def scan(max_bits: int, most: int | None):
                 every = np.concatenate(held)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(every), DIVIDE, np.int32)), "a": pa.array(every.view(np.int64)),
                                                   "b": pa.array(np.full(len(every), last[0], np.int64))})
-                held = [every[:0]]
-        if held and sum(map(len, held)) > 1:
-            yield flush(np.concatenate(held), last[0])
+                held, dividing = [every[:0]], True
+        if dividing or sum(map(len, held)) > 1:
+            yield flush(np.concatenate(held), last[0], dividing)
 
     return run
 
