@@ -1,6 +1,6 @@
 """Gradient-boosted trees on DataFrames: all (trial, held-out fold) pairs of a batch grow together.
 
-Rows are binned once and written.  For every tree level one job adds up histograms map-side, shuffles
+Rows are binned once and written in packed blocks.  For every tree level one job adds up histograms map-side, shuffles
 only (tree, node, feature, bin) sums and finds the best split of every node with window prefix sums.
 The shuffle and what reaches the driver depend on trees x features x bins, never on the rows.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from trialwright.operators import kernels
 from trialwright.operators.kernels import (
     DENSE_CELLS, GRADIENT_UNIT, MISSING_BIN, Fit, Tree, bin_rows, histogram_rows, margin_rows, open_cells,
-    predict_rows, score_rows)
+    pack_rows, predict_rows, score_rows, single_rows)
 from trialwright.session import materialize
 
 # Tasks receive the helpers with the job, so executors need not have this package installed.
@@ -32,11 +32,16 @@ DEFAULTS = {"max_depth": 3, "min_child_weight": 1.0, "alpha": 0.0, "lambda": 1.0
             "colsample_bytree": 1.0, "eta": 0.1, "rounds": 10}
 MAX_NODES = 1_000_000
 REFRESH_ROUNDS = 8
+_ROWS = "row_key long, fold int, label double, bins array<smallint>"
+_BLOCKS = "row_key binary, fold binary, label binary, bins binary"
 
 
 @dataclass
 class Binned:
-    """A binned feature table (row_key, fold, label, bins) and what is needed to bin new rows alike."""
+    """A binned feature table (row_key, fold, label, bins) and what is needed to bin new rows alike.
+
+    ``blocks`` is the same table packed, as the tasks of the booster read it.
+    """
 
     table: DataFrame
     features: list[str]
@@ -45,11 +50,17 @@ class Binned:
     centre: float
     fold_sums: dict[int, tuple[float, int]]
     classes: int = 0
+    blocks: DataFrame | None = None
 
     @property
     def width(self) -> int:
         return 2 + max(len(e) for e in self.edges)
 
+    def packed(self) -> DataFrame:
+        if self.blocks is None:
+            self.blocks = materialize(self.table.mapInArrow(pack_rows, _BLOCKS), "binned")
+        return self.blocks
+
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = 32, binning: str = "quantile") -> list[np.ndarray]:
     """Inner edges per feature from one pass: mergeable quantile sketches, or equal widths."""
@@ -77,20 +88,21 @@ def bin_table(df: DataFrame, features: Sequence[str], label: str, key: Sequence[
     features = list(features)
     as_double = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in features]
     fold_column = F.col(fold).cast("int") if fold else F.lit(0)
+    names = [f"__f{i}" for i in range(len(features))]
     narrow = df.select(F.xxhash64(*key).alias("row_key"), fold_column.alias("fold"),
-                       F.col(label).cast("double").alias("label"), *as_double)
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
-    edges = bin_edges(clean, features, bins, binning)
-    packed = narrow.select("row_key", "fold", "label", F.array(*features).alias("features"))
-    table = materialize(packed.mapInArrow(
-        bin_rows(edges), "row_key long, fold int, label double, bins array<smallint>"), "binned")
+                       F.col(label).cast("double").alias("label"), *[c.alias(n) for c, n in zip(as_double, names)])
+    # Written once: the edges and the bins are two passes.
+    table = materialize(narrow, "features")
+    clean = table.select(*[F.nanvl(F.col(n), F.lit(None).cast("double")).alias(n) for n in names])
+    edges = bin_edges(clean, names, bins, binning)
+    blocks = materialize(table.mapInArrow(bin_rows(edges), _BLOCKS), "binned")
     lo, hi = table.agg(F.min("label"), F.max("label")).first()
     spread = (hi - lo) or 1.0
     unit = GRADIENT_UNIT if classes else GRADIENT_UNIT / spread
     whole = F.sum(F.rint(F.col("label") * unit).cast("bigint"))
     sums = {r["fold"]: (r["s"] / unit, r["n"]) for r in table.groupBy("fold").agg(
         whole.alias("s"), F.count("*").alias("n")).collect()}
-    return Binned(table, features, edges, unit, (lo + hi) / 2, sums, classes)
+    return Binned(blocks.mapInArrow(single_rows(len(features)), _ROWS), features, edges, unit, (lo + hi) / 2, sums, classes, blocks)
 
 
 def _sampled_features(m: int, fraction: float, trial: int, round_: int, seed: int) -> list[int]:
@@ -174,8 +186,8 @@ class Boosted:
 
     def scores(self) -> DataFrame:
         """(trial_id, fold, round, isTest, metric, value) for every finished round."""
-        sums = self.data.table.mapInArrow(
-            score_rows(self.fits, self.data.classes, self.data.centre),
+        sums = self.data.packed().mapInArrow(
+            score_rows(self.fits, len(self.data.features), self.data.classes, self.data.centre),
             "fit int, round int, isTest boolean, n double, sy double, syy double, sse double, hits double")
         total = sums.groupBy("fit", "round", "isTest").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse", "hits")])
         total = total.where(F.col("n") > 0)
@@ -230,23 +242,21 @@ def fit_boosted(data: Binned, params: Mapping[int, Mapping[str, float]], folds:
     fits = [Fit(t, held, _base(data, held), float(p["subsample"])) for t, p in params.items() for held in folds]
     h_unit = float(GRADIENT_UNIT) if data.classes else 1.0
     settings = settings_table(spark, [params[f.trial] for f in fits for _ in range(outputs)])
-    table, written = data.table, 0
+    table, written, m = data.packed(), 0, len(data.features)
     for round_ in range(max(int(p["rounds"]) for p in params.values())):
         if round_ - written >= REFRESH_ROUNDS:
-            table = materialize(table.mapInArrow(
-                margin_rows(fits, written),
-                "row_key long, fold int, label double, bins array<smallint>, margins array<double>"), "margins")
+            table = materialize(table.mapInArrow(margin_rows(fits, m, written), f"{_BLOCKS}, margins binary"), "margins")
             written = round_
         live = [f for f in fits if round_ < int(params[f.trial]["rounds"])]
         for f in live:
             p = params[f.trial]
             f.growing = [Tree() for _ in range(outputs)]
             f.active = [{0: 0} for _ in range(outputs)]
-            f.features = _sampled_features(len(data.features), float(p["colsample_bytree"]), f.trial, round_, seed)
+            f.features = _sampled_features(m, float(p["colsample_bytree"]), f.trial, round_, seed)
         depth = 0
         while any(a for f in live for a in f.active):
             partial = table.mapInArrow(
-                histogram_rows(fits, data.width, data.unit, data.classes, written, (seed * 1000 + round_) * 100_003),
+                histogram_rows(fits, m, data.width, data.unit, data.classes, written, (seed * 1000 + round_) * 100_003),
                 "tree int, node int, feature int, bin int, g long, h long")
             combined = open_cells(fits, data.width) <= DENSE_CELLS
             splits = best_splits(partial, settings, data.unit, h_unit, combined).collect()

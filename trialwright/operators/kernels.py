@@ -6,6 +6,7 @@ histograms and finds the splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +15,11 @@ import pyarrow as pa
 MISSING_BIN = 0
 GRADIENT_UNIT = 2**20
 DENSE_CELLS = 2_000_000
+# Bytes of a block of packed rows, rows that are worked on at once, and splits up to which a tree is a table of their answers.
+BLOCK_BYTES = 8192
+CHUNK_ROWS = 16_384
+FEW_SPLITS = 12
+NO_FOLD = -(1 << 31)
 
 
 @dataclass
@@ -27,6 +33,7 @@ class Tree:
     right: list[int] = field(default_factory=lambda: [0])
     value: list[float] = field(default_factory=lambda: [0.0])
     arrays: tuple | None = field(default=None, compare=False, repr=False)
+    ends: np.ndarray | None = field(default=None, compare=False, repr=False)
 
     def split(self, node: int, feature: int, bin_: int, missing_left: bool, left: float, right: float) -> tuple[int, int]:
         a, b, self.arrays = len(self.feature), len(self.feature) + 1, None
@@ -45,7 +52,18 @@ class Tree:
         """Node each row of ``bins`` ends in."""
         if self.arrays is None:  # once per task, not once per batch
             self.arrays = tuple(np.asarray(v) for v in (self.feature, self.bin, self.missing_left, self.left, self.right))
+            self.ends = self._ends()
         feature, cut, missing, left, right = self.arrays
+        if self.ends is not None:
+            splits = np.flatnonzero(feature >= 0).tolist()
+            code = np.zeros(len(bins), dtype=np.uint8 if len(splits) <= 8 else np.uint16)
+            for bit, i in enumerate(splits):
+                b = bins[:, feature[i]]
+                stays = b <= cut[i]
+                if not missing[i]:  # the missing bin is the lowest, so it is left of every cut
+                    stays &= b != MISSING_BIN
+                code |= stays.astype(code.dtype) << code.dtype.type(bit)
+            return self.ends[code]
         node = np.zeros(len(bins), dtype=np.int64)
         moving = np.arange(len(bins)) if feature[0] >= 0 else np.empty(0, dtype=np.int64)
         while len(moving):
@@ -55,6 +73,16 @@ class Tree:
             moving = moving[feature[node[moving]] >= 0]
         return node
 
+    def _ends(self) -> np.ndarray | None:
+        """Node for every combination of answers (one bit a split, set: left); None where there are too many."""
+        splits = [i for i, f in enumerate(self.feature) if f >= 0]
+        if len(splits) > FEW_SPLITS:
+            return None
+        codes, node = np.arange(1 << len(splits)), np.zeros(1 << len(splits), np.int64)
+        for bit, i in enumerate(splits):  # parents stand before their children
+            node = np.where(node == i, np.where(codes >> bit & 1, self.left[i], self.right[i]), node)
+        return node
+
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return np.asarray(self.value)[self.route(bins)]
 
@@ -98,16 +126,65 @@ def gradients(margins: np.ndarray, label: np.ndarray, classes: int, unit: float)
     return np.rint((p - hit) * unit), np.rint(np.maximum(p * (1 - p), 1e-6) * unit)
 
 
-def batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-    return (batch.column("row_key").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False),
-            batch.column("label").to_numpy(zero_copy_only=False), bins)
+def pack(rows: np.ndarray, fold: np.ndarray, label: np.ndarray, bins: np.ndarray, margins: np.ndarray | None = None) -> pa.RecordBatch:
+    """Blocks of rows, each column of a block one binary value: what a task reads at every tree level then costs no work per row."""
+    n = len(rows)
+    columns = {"row_key": rows.astype(np.int64), "fold": fold.astype(np.int32), "label": label.astype(np.float64), "bins": bins.astype(np.int16)}
+    if margins is not None:
+        columns["margins"] = margins.reshape(n, -1)
+    columns = {k: np.ascontiguousarray(v) for k, v in columns.items()}
+    size = max(1, BLOCK_BYTES * n // max(1, sum(v.nbytes for v in columns.values())))
+    ends = np.append(np.arange(0, n, size), n)
+    out = {k: pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * (v.nbytes // n)).astype(np.int32)), pa.py_buffer(v)])
+           for k, v in columns.items()}
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _values(column: pa.Array, dtype: type) -> np.ndarray:
+    """The binary values of a column one after another; they lie so in its buffer."""
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, np.int32, len(column) + 1, column.offset * 4)
+    return np.frombuffer(data, dtype, (int(places[-1]) - int(places[0])) // np.dtype(dtype).itemsize, int(places[0]))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], width: int, fits: int = 0):
+    """(row_key, fold, label, bins, margins or None) of at most ``CHUNK_ROWS`` packed rows; ``bins`` lies column by column."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows, fold, label = (_values(batch.column(n), t) for n, t in (("row_key", np.int64), ("fold", np.int32), ("label", np.float64)))
+        n = len(rows)
+        bins = _values(batch.column("bins"), np.int16).reshape(n, width)
+        margins = _values(batch.column("margins"), np.float64).reshape(n, fits, -1) if "margins" in batch.schema.names else None
+        for a in range(0, n, CHUNK_ROWS):
+            at = slice(a, a + CHUNK_ROWS)
+            yield rows[at], fold[at], label[at], np.asfortranarray(bins[at]), None if margins is None else margins[at]
+
 
+def _numbers(column: pa.Array, missing: float) -> np.ndarray:
+    return column.fill_null(missing).to_numpy(zero_copy_only=False) if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batch iterator function: blocks of single rows (row_key, fold, label, bins)."""
+    for batch in batches:
+        if batch.num_rows:
+            bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            yield pack(batch.column("row_key").to_numpy(zero_copy_only=False), _numbers(batch.column("fold"), NO_FOLD),
+                       _numbers(batch.column("label"), np.nan), bins)
+
+
+def single_rows(width: int):
+    """Batch iterator function: the rows (row_key, fold, label, bins) of packed ones."""
+
+    def run(batches):
+        for rows, fold, label, bins, _ in chunks(batches, width):
+            offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(fold, mask=fold == NO_FOLD), pa.array(label, from_pandas=True),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins.ravel()))], names=["row_key", "fold", "label", "bins"])
 
-def start_margins(batch: pa.RecordBatch, fits: int) -> np.ndarray | None:
-    if "margins" not in batch.schema.names:
-        return None
-    return batch.column("margins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, fits, -1)
+    return run
 
 
 def open_cells(fits: list[Fit], width: int) -> int:
@@ -115,18 +192,18 @@ def open_cells(fits: list[Fit], width: int) -> int:
     return sum(len(a) * len(f.features) * width for f in fits for a in f.active)
 
 
-def histogram_rows(fits: list[Fit], width: int, unit: float, classes: int, skip: int, salt: int):
+def histogram_rows(fits: list[Fit], features: int, width: int, unit: float, classes: int, skip: int, salt: int):
     """Batch iterator function: partial (tree, node, feature, bin, g, h) sums over the rows of a task."""
     outputs = max(classes, 1)
 
     def emit(sums):
-        for (tree, slots, features), (g, h) in sums.items():
+        for (tree, slots, used), (g, h) in sums.items():
             at = np.nonzero(h)[0]
-            slot, rest = at // (len(features) * width), at % (len(features) * width)
+            slot, rest = at // (len(used) * width), at % (len(used) * width)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(at), tree, dtype=np.int32)),
                  pa.array(np.asarray(slots, dtype=np.int32)[slot]),
-                 pa.array(np.asarray(features, dtype=np.int32)[rest // width]),
+                 pa.array(np.asarray(used, dtype=np.int32)[rest // width]),
                  pa.array((rest % width).astype(np.int32)),
                  pa.array(g[at].astype(np.int64)), pa.array(h[at].astype(np.int64))],
                 names=["tree", "node", "feature", "bin", "g", "h"])
@@ -135,42 +212,39 @@ def histogram_rows(fits: list[Fit], width: int, unit: float, classes: int, skip:
 
     def run(batches):
         sums: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows, fold, label, bins = batch_arrays(batch)
-            start = start_margins(batch, len(fits))
-            flat = bins.astype(np.int64) + np.arange(bins.shape[1]) * width
+        for rows, fold, label, bins, start in chunks(batches, features, len(fits)):
+            codes = [bins[:, j].astype(np.int64) for j in range(features)]
+            drawn: dict = {}  # the rows a trial draws are the same for all its folds
             for i, fit in enumerate(fits):
                 if not any(fit.active):
                     continue
                 train = fold != fit.held_out
                 if fit.subsample < 1:
-                    train &= mix(rows, salt + fit.trial) < fit.subsample
-                b = bins[train]
-                margins = fit.margins(b, None if start is None else start[train, i], skip)
-                grad, hess = gradients(margins, label[train], classes, unit)
+                    if fit.trial not in drawn:
+                        drawn[fit.trial] = mix(rows, salt + fit.trial)
+                    train &= drawn[fit.trial] < fit.subsample
+                margins = fit.margins(bins, None if start is None else start[:, i], skip)
+                grad, hess = gradients(margins, label, classes, unit)
                 m = len(fit.features)
-                columns = flat[train]
-                if m < bins.shape[1]:
-                    columns = columns[:, fit.features] + (np.arange(m) - fit.features) * width
                 for k, active in enumerate(fit.active):
                     if not active:
                         continue
                     slot_of = np.full(len(fit.growing[k].feature), -1)
                     slot_of[list(active)] = np.arange(len(active))
-                    slot = slot_of[fit.growing[k].route(b)]
-                    at, size = slot >= 0, len(active) * m * width
-                    if at.all():
-                        code = columns + (slot * (m * width))[:, None] if len(active) > 1 else columns
-                        grad_at, hess_at = grad[:, k], hess[:, k]
-                    else:
-                        code = columns[at] + (slot[at] * (m * width))[:, None]
-                        grad_at, hess_at = grad[at, k], hess[at, k]
-                    code = code.ravel()
-                    g = np.bincount(code, np.repeat(grad_at, m), size)
-                    # Squared loss has second derivative 1: its sum is a count.
-                    h = np.bincount(code, np.repeat(hess_at, m) if classes else None, size)
+                    slot = slot_of[fit.growing[k].route(bins)]
+                    at = np.flatnonzero(train & (slot >= 0))
+                    shift = slot[at] * width if len(active) > 1 else None
+                    grad_at, hess_at = np.ascontiguousarray(grad[at, k]), np.ascontiguousarray(hess[at, k]) if classes else None
+                    g = np.empty((len(active), m, width))
+                    h = np.empty((len(active), m, width), float if classes else np.int64)
+                    for place, j in enumerate(fit.features):
+                        code = codes[j][at]
+                        if shift is not None:
+                            code += shift
+                        g[:, place] = np.bincount(code, grad_at, len(active) * width).reshape(-1, width)
+                        # Squared loss has second derivative 1: its sum is a count.
+                        h[:, place] = np.bincount(code, hess_at, len(active) * width).reshape(-1, width)
+                    g, h = g.ravel(), h.ravel()
                     key = (i * outputs + k, tuple(active), tuple(fit.features))
                     if key in sums:
                         sums[key] = (sums[key][0] + g, sums[key][1] + h)
@@ -184,49 +258,41 @@ def histogram_rows(fits: list[Fit], width: int, unit: float, classes: int, skip:
     return run
 
 
-def margin_rows(fits: list[Fit], skip: int):
-    """Batch iterator function: the table with every fit's margins after its finished rounds."""
+def margin_rows(fits: list[Fit], features: int, skip: int):
+    """Batch iterator function: the blocks with every fit's margins after its finished rounds."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            _, _, _, bins = batch_arrays(batch)
-            start = start_margins(batch, len(fits))
+        for rows, fold, label, bins, start in chunks(batches, features, len(fits)):
             out = np.stack([f.margins(bins, None if start is None else start[:, i], skip)
                             for i, f in enumerate(fits)], axis=1)
-            flat = out.reshape(batch.num_rows, -1)
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * flat.shape[1]
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
-            names = [n for n in batch.schema.names if n != "margins"]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [column], names=[*names, "margins"])
+            yield pack(rows, fold, label, bins, out)
 
     return run
 
 
-def score_rows(fits: list[Fit], classes: int, centre: float):
+def score_rows(fits: list[Fit], features: int, classes: int, centre: float):
     """Batch iterator function: per (fit, round, side) the sums that r2, rmse and accuracy need."""
 
     def run(batches):
         sums: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            _, fold, label, bins = batch_arrays(batch)
+        for _, fold, label, bins, _ in chunks(batches, features):
+            y = label - centre
+            of_fold: dict = {}
             for i, fit in enumerate(fits):
-                margins = np.tile(fit.base, (len(bins), 1))
-                test = fold == fit.held_out
+                if fit.held_out not in of_fold:
+                    test = (fold == fit.held_out).astype(np.int64)
+                    of_fold[fit.held_out] = test, [np.bincount(test, w, 2) for w in (None, y, y * y)]
+                test, (n, sy, syy) = of_fold[fit.held_out]
+                margins, none = np.tile(fit.base, (len(bins), 1)), np.zeros(2)
                 for r, trees in enumerate(fit.rounds):
                     for k, tree in enumerate(trees):
                         margins[:, k] += tree.predict(bins)
                     if classes:
-                        error, hit = np.zeros(len(bins)), margins.argmax(axis=1) == label
+                        error, hits = none, np.bincount(test, margins.argmax(axis=1) == label, 2)
                     else:
-                        error, hit = (label - margins[:, 0]) ** 2, np.zeros(len(bins))
+                        error, hits = np.bincount(test, (label - margins[:, 0]) ** 2, 2), none
                     for side in (True, False):
-                        rows = test if side else ~test
-                        y = label[rows] - centre
-                        part = np.array([rows.sum(), y.sum(), (y * y).sum(), error[rows].sum(), hit[rows].sum()])
+                        part = np.array([v[int(side)] for v in (n, sy, syy, error, hits)], float)
                         sums[i, r, side] = sums.get((i, r, side), 0) + part
         keys = list(sums)
         values = np.array([sums[k] for k in keys]).reshape(-1, 5)
@@ -252,17 +318,17 @@ def feature_matrix(batch: pa.RecordBatch, name: str = "features") -> np.ndarray:
 
 
 def bin_rows(edges: list[np.ndarray]):
-    """Batch iterator function: replace ``features`` by ``bins``."""
+    """Batch iterator function: blocks of (row_key, fold, label, a column per feature) with the features' bins."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            bins = bin_values(feature_matrix(batch), edges)
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * bins.shape[1]
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bins.ravel()))
-            names = [n for n in batch.schema.names if n != "features"]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [column], names=[*names, "bins"])
+            x = np.empty((batch.num_rows, len(edges)))
+            for j in range(len(edges)):
+                x[:, j] = _numbers(batch.column(3 + j), np.nan)
+            yield pack(batch.column(0).to_numpy(zero_copy_only=False), _numbers(batch.column(1), NO_FOLD),
+                       _numbers(batch.column(2), np.nan), bin_values(x, edges))
 
     return run
 
