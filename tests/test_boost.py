@@ -160,3 +160,35 @@ def test_spark_learners(spark):
     model = boost.mllib_regressor({"max_depth": 3, "rounds": 2, "eta": 0.5, "colsample_bytree": 0.7}).fit(df)
     assert model.transform(df).agg(evaluate.r2()).first()[0] > 0.2
     assert boost.mllib_classifier().getClassifier().getMaxDepth() == 2
+
+
+@pytest.mark.parametrize("splits", [0, 1, 8, 9, 12, 13])
+def test_routes_of_packed_rows(splits):
+    draw = np.random.default_rng(splits)
+    tree, leaves = kernels.Tree(), [0]
+    for _ in range(splits):
+        at = leaves.pop(draw.integers(len(leaves)))
+        leaves += tree.split(at, int(draw.integers(3)), int(draw.integers(1, 9)), bool(draw.integers(2)), 1.0, 2.0)
+    n = 20_000
+    bins = draw.integers(0, 10, (n, 3)).astype(np.int16)
+
+    def walk(row):
+        i = 0
+        while tree.feature[i] >= 0:
+            b = row[tree.feature[i]]
+            i = tree.left[i] if (tree.missing_left[i] if b == kernels.MISSING_BIN else b <= tree.bin[i]) else tree.right[i]
+        return i
+
+    packed = kernels.pack(np.arange(n), np.zeros(n), np.arange(n) / 2, bins)
+    got = list(kernels.chunks(iter([packed.slice(0, 1), packed.slice(1)]), 3))
+    assert np.concatenate([g[0] for g in got]).tolist() == list(range(n)) and np.concatenate([g[2] for g in got]).tolist() == (np.arange(n) / 2).tolist()
+    assert np.concatenate([tree.route(g[3]) for g in got]).tolist() == [walk(r) for r in bins]
+
+
+def test_partitions_of_a_learner_grow_in_number(spark, tmp_path):
+    from trialwright.session import bounded, spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert spread(df, ["id"], 50).rdd.getNumPartitions() == 20
+    assert bounded(df, ["id"], 100).rdd.getNumPartitions() == 10 and bounded(df, ["id"], 1000).rdd.getNumPartitions() == 1

@@ -9,7 +9,7 @@ from trialwright.operators import boost, evaluate, prep, propose, space
 from trialwright.plans import search, views
 from trialwright.queries.data import KEY_SQL, LABEL_SQL
 from trialwright.queries.registry import EV, hash_sql, query, rounded, uniform_sql
-from trialwright.session import scratch_path, spread
+from trialwright.session import FIT_ROWS, bounded, scratch_path, spread
 from trialwright.sources import records
 
 NUMERIC = ["l_extendedprice", "l_discount", "l_tax", "l_quantity"]
@@ -220,15 +220,16 @@ def _(spark, sf):
 
 @query("q_mllib_regressor")
 def _(spark, sf):
-    data = prep.assemble_features(views.lines_features(spark, sf).select(*NUMERIC, "label", *views.LINE_KEYS), NUMERIC, keep=views.LINE_KEYS)
+    li = bounded(views.lines_features(spark, sf), views.LINE_KEYS)
+    data = prep.assemble_features(li.select(*NUMERIC, "label", *views.LINE_KEYS), NUMERIC, keep=views.LINE_KEYS)
     train, test = prep.random_split(data, [0.7, 0.3], views.LINE_KEYS, 18)
     model = boost.mllib_regressor({"max_depth": 3, "rounds": 3, "eta": 0.3, "lambda": 0.0}).fit(train)
     return rounded(model.transform(test).agg(F.count("*").alias("rows"), evaluate.r2().alias("r2")), "r2")
 
 
-def _price_classes(spark, sf):
+def _price_classes(spark, sf, task_rows=None):
     """Line items in three classes by price tercile."""
-    li = spread(views.lines_features(spark, sf), views.LINE_KEYS)
+    li = spread(views.lines_features(spark, sf), views.LINE_KEYS, task_rows)
     low, high = li.select(F.percentile_approx("l_extendedprice", [1 / 3, 2 / 3], 10_000)).first()[0]
     price = F.col("l_extendedprice")
     return li.withColumn("class", F.when(price <= low, "low").when(price <= high, "mid").otherwise("top"))
@@ -247,7 +248,7 @@ def _(spark, sf):
 @query("q_mllib_classifier")
 def _(spark, sf):
     """One boosted binary model per class, scored on a held-out part."""
-    data = prep.index_labels(_price_classes(spark, sf).drop("label"), "class")
+    data = prep.index_labels(_price_classes(spark, sf, FIT_ROWS).drop("label"), "class")
     data = prep.assemble_features(data.select(*NUMERIC, "label", *views.LINE_KEYS), NUMERIC, keep=views.LINE_KEYS)
     train, test = prep.random_split(data, [0.7, 0.3], views.LINE_KEYS, 18)
     out = boost.mllib_classifier(2, 2, 0.3).fit(train).transform(test)

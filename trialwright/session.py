@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one group that a single task may sort.  Larger groups take the split plans.
 TASK_ROWS = 1_000_000
+# Rows of a partition that a learner keeps in memory.
+FIT_ROWS = 600_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +41,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Deal out the rows of a source with fewer files than cores by their key; larger sources are read in place."""
+def spread(df: DataFrame, key: Sequence[str], task_rows: int | None = None) -> DataFrame:
+    """Deal out the rows of a source with fewer files than cores by their key; larger sources are read in place.
+
+    With ``task_rows`` partitions grow in number with the rows, so that one holds about so many at most.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df
+    if task_rows is None:
+        return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df
+    n = max(cores, -(-df.count() // task_rows))
+    few = len(df.inputFiles()) < cores
+    return df.repartition(n, *key) if few or df.rdd.getNumPartitions() < n else df
+
+
+def bounded(df: DataFrame, key: Sequence[str], task_rows: int = FIT_ROWS) -> DataFrame:
+    """``df`` in place, or dealt out by its key where its partitions would hold more than about ``task_rows`` rows."""
+    n = -(-df.count() // task_rows)
+    return df.repartition(n, *key) if df.rdd.getNumPartitions() < n else df
