@@ -10,11 +10,15 @@ from trialwright.plans import views
 from trialwright.queries.registry import EV, LI, OD, query, rounded
 from trialwright.queries.stops import _stop_sql
 from trialwright.schemas import TRIAL_LAYOUTS
-from trialwright.session import scratch_path
+from trialwright.session import materialize, scratch_path
 from trialwright.sources import features, records, trials, versions
 from trialwright.streaming import steps
 
 
+# Steps of one file of a log that is written as files.
+FILE_STEPS = 500_000
+
+
 def _event_stream(spark, sf):
     """The events table as a stream of steps: a user's events in id order."""
     schema = views.table(spark, sf, "events").schema
@@ -56,17 +60,20 @@ def live_stop(spark, sf):
 
 @query("q_live_stop_files", f"""WITH {EV}, {_stop_sql('ev', 7)} SELECT s.run, s.iter AS stop_iter, s.best FROM scan s JOIN stops t ON s.run = t.run WHERE s.pos = t.stop""")
 def _(spark, sf):
-    """A search that goes on in five files, one micro-batch each, half of the second one written twice; the query is stopped
-    and started again after the third."""
-    log = views.events_log(spark, sf).select("run", "iter", "score")
+    """A search that goes on in five files (sets of files where there are many steps), one micro-batch each, half of the second one
+    written twice; the query is stopped and started again after the third."""
+    log = materialize(views.events_log(spark, sf).select("run", "iter", "score"), "log")
+    files = -(-log.count() // FILE_STEPS) or 1
     source, path = scratch_path(spark, "steps"), scratch_path(spark, "live-stop")
     schema = "run long, iter long, score double"
     for part in range(5):
         inside = (F.col("iter") > part * 12) & ((F.col("iter") <= part * 12 + 12) | F.lit(part == 4))
         again = F.col("iter").between(18, 24) if part == 2 else F.lit(False)
-        log.where(inside | again).coalesce(1).write.mode("append").json(source)
+        # A run's steps of a part are in one file, so that they are never in two micro-batches.
+        rows = log.where(inside | again)
+        (rows.repartition(files, "run") if files > 1 else rows.coalesce(1)).write.mode("append").json(source)
         if part in (2, 4):
-            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(source)
             steps.live_stop(stream, 7, path).awaitTermination()
     return steps.read_stops(spark, path, "bigint")
 
