@@ -108,3 +108,21 @@ def test_silent_runs_are_forgotten(spark):
 def test_bad_types_are_refused(spark):
     with pytest.raises(Exception):
         live.stops(spark.createDataFrame([(1,)], "x long"), 3)
+
+
+def test_small_batches_make_one_segment_a_run(spark):
+    log = spark.range(1, 1001).select((F.col("id") % 2).alias("run"), F.col("id").alias("iter"), F.col("id").cast("double").alias("score")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = live.segments(log).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert sorted((r["run"], r["first"], r["last"], r["scored"]) for r in got) == [(0, 2, 1000, 500), (1, 1, 999, 500)]
+
+
+def test_steps_in_sets_of_files(spark, monkeypatch, rows):
+    from trialwright.queries import QUERIES, streams
+
+    one = rows(QUERIES["q_live_stop_files"](spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(streams, "FILE_STEPS", 200)
+    assert rows(QUERIES["q_live_stop_files"](spark, "/root/testdata/sf0.001")) == one and one

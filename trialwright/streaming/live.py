@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Tasks receive this module's functions with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,6 +25,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Steps of one segment.
 SEGMENT = 10_000
+# Steps that a task packs at once: the more, the fewer segments a run has.
+FRAME = 100_000
+_STATE = "best double, held long, last long, stopped boolean"
 SEGMENTS = "first long, last long, scored long, rise_at binary, rise_to binary, iters binary, scores binary"
 
 
@@ -87,57 +90,58 @@ def _iteration(segment: dict[str, Any], place: int) -> int:
     return int(iters[~np.isnan(scores)][place])
 
 
-class StopRule(StatefulProcessor):
+def stop_rule(n: int, threshold: float | None, forget_ms: int | None):
     """State of a run: its best, how long it has held, its last step, and whether it has stopped."""
 
-    def __init__(self, n: int, threshold: float | None, forget_ms: int | None):
-        self.n, self.threshold, self.forget_ms = n, threshold, forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("run", "best double, held long, last long, stopped boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        best, held, last, stopped = self.state.get() if self.state.exists() else (None, 0, -1, False)
-        segments = [s for frame in rows for s in frame.to_dict("records")]
-        out = []
+    def rule(key: Any, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, held, last, stopped = state.get if state.exists else (None, 0, -1, False)
+        found = [s for frame in rows for s in frame.to_dict("records")]
         if not stopped:
-            for segment in joined(segments, last):
-                best, held, at = advance(best, held, segment, self.n, self.threshold)
+            for segment in joined(found, last):
+                best, held, at = advance(best, held, segment, n, threshold)
                 last = segment["last"]
                 if at is not None:
                     stopped = True
-                    out.append((*key, at, best))
+                    yield pd.DataFrame({"run": [None if pd.isna(key[0]) else key[0]], "stop_iter": [at], "best": [best]})
                     break
-        self.state.update((best, held, last, stopped))
-        if self.forget_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
-        yield pd.DataFrame(out, columns=["run", "stop_iter", "best"])
+        state.update((best, held, last, stopped))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame([], columns=["run", "stop_iter", "best"])
-
-    def close(self) -> None:
-        pass
+    return rule
 
 
 def segments(steps: DataFrame, size: int = SEGMENT) -> DataFrame:
     """(run, segment) of the steps each task reads."""
 
+    def pieces(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        code, runs = pd.factorize(frame["run"], use_na_sentinel=False)
+        iters, scores = frame["iter"].to_numpy(np.int64), frame["score"].to_numpy(np.float64)
+        order = np.lexsort((iters, code))  # stable: the first of repeated steps counts
+        code, iters, scores = code[order], iters[order], scores[order]
+        new = np.append(True, (code[1:] != code[:-1]) | (iters[1:] != iters[:-1]))
+        code, iters, scores = code[new], iters[new], scores[new]
+        cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code)).tolist()
+        places = [(a, min(a + size, end)) for start, end in zip(cuts, cuts[1:]) for a in range(start, end, size)]
+        names = [None if pd.isna(r) else r for r in runs]
+        return pd.DataFrame([{"run": names[code[a]], **pack(iters[a:b], scores[a:b])} for a, b in places])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for frame in frames:
-            out = []
-            for key, part in frame.groupby("run", dropna=False, sort=False):
-                part = part.sort_values("iter", kind="stable")
-                iters, scores = part["iter"].to_numpy(np.int64), part["score"].to_numpy(np.float64)
-                new = np.append(True, iters[1:] != iters[:-1])
-                iters, scores = iters[new], scores[new]
-                for a in range(0, len(iters), size):
-                    out.append({"run": None if pd.isna(key) else key, **pack(iters[a:a + size], scores[a:a + size])})
-            yield pd.DataFrame(out)
+            if not len(frame):
+                continue
+            held.append(frame)
+            rows += len(frame)
+            if rows >= FRAME:
+                yield pieces(held)
+                held, rows = [], 0
+        if held:
+            yield pieces(held)
 
     narrow = steps.select("run", F.col("iter").cast("long").alias("iter"), F.col("score").cast("double").alias("score")).where("iter IS NOT NULL")
     return narrow.mapInPandas(run, f"run {steps.schema['run'].dataType.simpleString()}, {SEGMENTS}")
@@ -152,6 +156,8 @@ def stops(steps: DataFrame, n: int, threshold: float | None = None, forget_minut
     spark = steps.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     run_type = steps.schema["run"].dataType.simpleString()
-    rule = StopRule(n, threshold, None if forget_minutes is None else int(forget_minutes * 60_000))
-    return segments(steps).groupBy("run").transformWithStateInPandas(
-        rule, f"run {run_type}, stop_iter long, best double", "Append", "None" if forget_minutes is None else "ProcessingTime")
+    rule = stop_rule(n, threshold, None if forget_minutes is None else int(forget_minutes * 60_000))
+    timeout = GroupStateTimeout.NoTimeout if forget_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    # The state travels with a run's segments: many runs go to a Python worker at once, without a call back for each.
+    return segments(steps).groupBy("run").applyInPandasWithState(
+        rule, f"run {run_type}, stop_iter long, best double", _STATE, "append", timeout)
