@@ -239,15 +239,13 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 1, task_bytes: in
 
         held = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                piece = batch.slice(a, 200)
-                for key, found in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                    ids.append(key)
-                    documents.append(found + end)
-                    held += len(found) // 4 + 1
-                    if held >= shard_ids:
-                        yield flush()
-                        ids, documents, held, seq = [], [], 0, seq + 1
+            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids.append(key)
+                documents.append(found + end)
+                held += len(found) // 4 + 1
+                if held >= shard_ids:
+                    yield flush()
+                    ids, documents, held, seq = [], [], 0, seq + 1
         if documents:
             yield flush()
 
