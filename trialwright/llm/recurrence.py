@@ -49,7 +49,8 @@ class Items:
         grams = kernels.windows(hashes, gram)
         whole = (np.arange(len(grams)) + window <= self.end[:len(grams)]) & block.has_id[doc[:len(grams)]]
         self.places = kernels.anchors(grams, whole, window - gram + 1)
-        self.anchors = grams[self.places]
+        # An anchor is a least hash, so most are small; mixed again they fill all ranges alike.
+        self.anchors = kernels.mix(grams[self.places])
 
 
 def packed(to: np.ndarray, kind: int, block: int, *columns: np.ndarray) -> list[tuple[int, int, int, bytes]]:

@@ -27,6 +27,8 @@ WINDOW, GRAM = 50, 25
 SIDE = WINDOW - GRAM
 EVERY = np.uint32((1 << (SIDE + 1)) - 1)
 _BYTES = np.dtype((np.void, SIDE))
+# Samples that are sorted at once; those of one hash stay together.
+SORT_ROWS = 1 << 16
 
 
 def byte_items(block: Block) -> Items:
@@ -76,6 +78,14 @@ def ranks(hashes: np.ndarray, bytes_: np.ndarray):
     return at
 
 
+def parts_of(hashes: np.ndarray, most: int = SORT_ROWS) -> list[np.ndarray]:
+    """Entries in parts of about ``most``; entries of one hash are in one part."""
+    order = np.argsort(hashes, kind="stable")
+    starts, _ = runs_of(hashes[order])
+    cuts = np.unique(starts[np.searchsorted(starts, np.arange(0, len(order), most), "right") - 1])[1:] if len(order) else []
+    return [part for part in np.split(order, cuts) if len(part)]
+
+
 def earlier(hashes: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, may: np.ndarray) -> np.ndarray:
     """Bit o of each sample: its string that begins o bytes before also starts in a document with a smaller id."""
     out = np.zeros(len(hashes), np.uint32)
@@ -157,7 +167,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     def sort_bucket(group: pa.Table) -> pa.Table:
         source, (hashes, doc, places, left, right, may) = gathered(group, *entry)
         split = lambda x: np.frombuffer(x.tobytes(), np.uint8).reshape(-1, SIDE)
-        masks = earlier(hashes, doc, split(left), split(right), may)
+        masks = np.zeros(len(hashes), np.uint32)
+        for some in parts_of(hashes):
+            masks[some] = earlier(hashes[some], doc[some], split(left[some]), split(right[some]), may[some])
         keep = np.flatnonzero(masks)
         blocks = ints(group.column("block"))[source[keep]]
         by = np.argsort(blocks, kind="stable")
