@@ -2,14 +2,15 @@
 
 A round range-sorts the unplaced pieces and the gaps of open sequences by size, largest first, gaps before pieces of
 their size.  Each task sweeps its range with a stack: a piece takes the smallest gap that is large enough and still free,
-so of several pieces with the same successor the first by rank gets it and the others go on to the next larger gap.
-Pieces whose successor lies in an earlier range are matched by rank from the tasks' leftover counts.  Gaps are then
-updated.  Pieces longer than every gap open new sequences, the longest first and no more than their tokens need.
+so of several pieces with the same successor the first by rank gets it and the others go on to the next larger gap; what
+is left of a gap is a gap again.  Pieces whose successor lies in an earlier range are matched by rank from the tasks'
+leftover counts, as many to a gap as it surely holds.  Gaps are then updated.  Pieces longer than every gap open new sequences, the longest first and no more than their tokens need.
 Rounds repeat until every piece has its place.  A piece that opens a sequence gives it its number.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 
@@ -17,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialwright.llm.common import materialize, prepare, table, texts
@@ -39,15 +40,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
         encode, key = Encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    for i, (start, stop) in enumerate(zip(edges, edges[1:])):
-                        out.append((key, doc_id, i, start, stop - start, zlib.crc32(ids[4 * start:4 * stop])))
-                        key += 1
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+                ids += end
+                n = len(ids) // 4
+                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                for i, (start, stop) in enumerate(zip(edges, edges[1:])):
+                    out.append((key, doc_id, i, start, stop - start, zlib.crc32(ids[4 * start:4 * stop])))
+                    key += 1
             columns = list(zip(*out)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in PIECES.split(", ")])
@@ -59,45 +58,51 @@ def sweep(capacity: int):
     """One task's range, largest first: matched pieces leave with their sequence, the others with their rank."""
 
     def run(frames):
-        part, stack, waiting, done = TaskContext.get().partitionId(), [], 0, []
+        part, stack, rests, waiting, done = TaskContext.get().partitionId(), [], [], 0, []
         for frame in frames:
             for kind, key, size in zip(frame["kind"].tolist(), frame["key"].tolist(), frame["size"].tolist()):
+                while rests and -rests[0][0] >= size:  # what is left of a gap comes again in its place
+                    free, sequence = heapq.heappop(rests)
+                    stack.append((sequence, -free))
                 if kind == GAP:
                     stack.append((key, size))
                 elif stack:
                     sequence, free = stack.pop()
                     done.append((PLACED, key, size, sequence, capacity - free, part, 0))
                     if free > size:
-                        done.append((GAP, sequence, free - size, 0, 0, -1, 0))
+                        heapq.heappush(rests, (size - free, sequence))
                 else:
                     done.append((PIECE, key, size, 0, 0, part, waiting))
                     waiting += 1
             yield pd.DataFrame(done, columns=[f.split()[0] for f in STATE.split(", ")])
             done = []
-        yield pd.DataFrame([(GAP, key, size, 0, 0, part, rank) for rank, (key, size) in enumerate(reversed(stack))],
+        left = [(GAP, key, -free, 0, 0, -1, 0) for free, key in rests]
+        yield pd.DataFrame(left + [(GAP, key, size, 0, 0, part, rank) for rank, (key, size) in enumerate(reversed(stack))],
                            columns=[f.split()[0] for f in STATE.split(", ")])
 
     return run
 
 
-def across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Matches between ranges, from each range's count of waiting pieces and of free gaps.
+def across(left: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches between ranges, from (range, waiting pieces, free gaps, largest of those pieces, least of those gaps).
 
-    Gives (piece range, first rank, gap range, first rank, how many): waiting pieces take the gaps of the nearest
-    earlier range first.  There are at most twice as many matches as ranges.
+    Gives (piece range, first rank, gap range, first rank, pieces, pieces in each gap): waiting pieces take the gaps of the
+    nearest earlier range first, and as many go into one gap as fit whatever their sizes are.  There are at most twice as many
+    matches as ranges.
     """
     stack, out = [], []
-    for part, pieces, gaps in sorted(left):
+    for part, pieces, gaps, largest, least in sorted(left, key=lambda row: row[0]):
         at = 0
         while at < pieces and stack:
-            source, taken, count = stack.pop()
-            n = min(pieces - at, count)
-            out.append((part, at, source, taken, n))
+            source, taken, count, free = stack.pop()
+            each = free // largest
+            n = min(pieces - at, count * each)
+            out.append((part, at, source, taken, n, each))
             at += n
-            if n < count:
-                stack.append((source, taken + n, count - n))
+            if (used := -(-n // each)) < count:
+                stack.append((source, taken + used, count - used, free))
         if gaps:
-            stack.append((part, 0, gaps))
+            stack.append((part, 0, gaps, least))
     return out
 
 
@@ -107,28 +112,36 @@ def match(state: DataFrame, rows: int, capacity: int) -> DataFrame:
     order = [F.col("size").desc(), F.col("kind").asc(), F.col("key").asc()]
     ranged = state.select("kind", "key", "size").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     swept = materialize(ranged.mapInPandas(sweep(capacity), STATE), "swept")
+    of = {kind: F.when(F.col("kind") == kind, F.col("size")) for kind in (PIECE, GAP)}
     counts = swept.filter((F.col("kind") != PLACED) & (F.col("part") >= 0)).groupBy("part").agg(
-        F.count(F.when(F.col("kind") == PIECE, 1)), F.count(F.when(F.col("kind") == GAP, 1))).collect()
+        F.count(of[PIECE]), F.count(of[GAP]), F.max(of[PIECE]), F.min(of[GAP])).collect()
     matches = across([tuple(r) for r in counts])
     if not matches:
         return swept
-    # Places of both sides in one numbering of the matches: (range, rank) -> number.
+    # Places of both sides in one numbering of the gaps matched: (range, rank) -> number.
     spark, number, sides = state.sparkSession, 0, []
-    for piece_part, piece_rank, gap_part, gap_rank, n in matches:
-        sides += [(PIECE, piece_part, piece_rank, n, number), (GAP, gap_part, gap_rank, n, number)]
-        number += n
-    sides = spark.createDataFrame(sides, "m_kind int, m_part int, m_rank bigint, m_n bigint, m_number bigint")
+    for piece_part, piece_rank, gap_part, gap_rank, n, each in matches:
+        used = -(-n // each)
+        sides += [(PIECE, piece_part, piece_rank, n, each, number), (GAP, gap_part, gap_rank, used, 1, number)]
+        number += used
+    sides = spark.createDataFrame(sides, "m_kind int, m_part int, m_rank bigint, m_n bigint, m_each bigint, m_number bigint")
     here = ((F.col("kind") == F.col("m_kind")) & (F.col("part") == F.col("m_part")) & (F.col("rank") >= F.col("m_rank"))
             & (F.col("rank") < F.col("m_rank") + F.col("m_n")))
-    marked = swept.join(sides, here, "left").withColumn("number", F.col("m_number") + F.col("rank") - F.col("m_rank"))
-    marked = materialize(marked.select(*[f.split()[0] for f in STATE.split(", ")], "number"), "marked")
-    pieces = marked.filter(F.col("number").isNotNull() & (F.col("kind") == PIECE)).select("number", "key", "size", "part", "rank")
-    gaps = marked.filter(F.col("number").isNotNull() & (F.col("kind") == GAP)).select("number", F.col("key").alias("sequence_id"), F.col("size").alias("free"))
-    pairs = pieces.join(gaps, "number")
-    placed = pairs.select(F.lit(PLACED).alias("kind"), "key", "size", "sequence_id", (capacity - F.col("free")).alias("offset"), "part", "rank")
-    smaller = pairs.filter("free > size").select(F.lit(GAP).alias("kind"), F.col("sequence_id").alias("key"), (F.col("free") - F.col("size")).alias("size"),
-                                                 F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).alias("offset"), F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("rank"))
-    return materialize(marked.filter(F.col("number").isNull()).drop("number").union(placed).union(smaller), "swept")
+    marked = swept.join(sides, here, "left").withColumn("number", F.col("m_number") + F.expr("(rank - m_rank) div m_each"))
+    marked = marked.select(*[f.split()[0] for f in STATE.split(", ")], "number")
+    # A gap and its pieces, no more of them than fit, the gap first.
+    order = Window.partitionBy("number").orderBy(F.col("kind") == PIECE, "rank")
+    together = marked.filter(F.col("number").isNotNull()).withColumn(
+        "free", F.sum(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size"))).over(order).cast("int")).withColumn(
+        "sequence", F.first("key").over(order)).withColumn("last", F.lead("kind").over(order).isNull())
+    zero, columns = F.lit(0).cast("bigint"), [f.split()[0] for f in STATE.split(", ")]
+    piece = F.struct(F.lit(PLACED).alias("kind"), "key", "size", F.col("sequence").alias("sequence_id"),
+                     (capacity - F.col("free") - F.col("size")).alias("offset"), "part", "rank")
+    rest = F.struct(F.lit(GAP).alias("kind"), F.col("sequence").alias("key"), F.col("free").alias("size"), zero.alias("sequence_id"),
+                    F.lit(0).alias("offset"), F.lit(-1).alias("part"), zero.alias("rank"))
+    both = F.array_compact(F.array(F.when(F.col("kind") == PIECE, piece), F.when(F.col("last") & (F.col("free") > 0), rest)))
+    filled = together.select(F.explode(both).alias("r")).select(*[f"r.{c}" for c in columns])
+    return materialize(marked.filter(F.col("number").isNull()).drop("number").union(filled), "swept")
 
 
 def opened(state: DataFrame, sizes: list[tuple[int, int, int]], capacity: int, turn: int) -> DataFrame | None:
