@@ -4,7 +4,8 @@ A round range-sorts the unplaced pieces and the gaps of open sequences by size,
 their size.  Each task sweeps its range with a stack: a piece takes the smallest gap that is large enough and still free,
 so of several pieces with the same successor the first by rank gets it and the others go on to the next larger gap; what
 is left of a gap is a gap again.  Pieces whose successor lies in an earlier range are matched by rank from the tasks'
-leftover counts, as many to a gap as it surely holds.  Gaps are then updated.  Pieces longer than every gap open new sequences, the longest first and no more than their tokens need.
+leftover counts of each size, and what they leave of a gap goes on to shorter pieces, so a round places as much however
+many ranges it has.  Gaps are then updated.  Pieces longer than every gap open new sequences, the longest first and no more than their tokens need.
 Rounds repeat until every piece has its place.  A piece that opens a sequence gives it its number.
 """
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from trialwright.llm.registry import query
 
 # Rows (gaps and pieces) that one task sweeps.
 SWEEP_ROWS = 500_000
+# Ranks (of one range and size) that a row of the matches between ranges covers at most.
+RANKS = 1024
 GAP, PIECE, PLACED = 0, 1, 2
 STATE = "kind int, key bigint, size int, sequence_id bigint, offset int, part int, rank bigint"
 PIECES = "key bigint, doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
@@ -55,10 +60,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
 
 
 def sweep(capacity: int):
-    """One task's range, largest first: matched pieces leave with their sequence, the others with their rank."""
+    """One task's range, largest first: matched pieces leave with their sequence, the others with their rank in their size."""
 
     def run(frames):
-        part, stack, rests, waiting, done = TaskContext.get().partitionId(), [], [], 0, []
+        part, stack, rests, waiting, done = TaskContext.get().partitionId(), [], [], Counter(), []
         for frame in frames:
             for kind, key, size in zip(frame["kind"].tolist(), frame["key"].tolist(), frame["size"].tolist()):
                 while rests and -rests[0][0] >= size:  # what is left of a gap comes again in its place
@@ -72,13 +77,15 @@ def sweep(capacity: int):
                     if free > size:
                         heapq.heappush(rests, (size - free, sequence))
                 else:
-                    done.append((PIECE, key, size, 0, 0, part, waiting))
-                    waiting += 1
+                    done.append((PIECE, key, size, 0, 0, part, waiting[size]))
+                    waiting[size] += 1
             yield pd.DataFrame(done, columns=[f.split()[0] for f in STATE.split(", ")])
             done = []
-        left = [(GAP, key, -free, 0, 0, -1, 0) for free, key in rests]
-        yield pd.DataFrame(left + [(GAP, key, size, 0, 0, part, rank) for rank, (key, size) in enumerate(reversed(stack))],
-                           columns=[f.split()[0] for f in STATE.split(", ")])
+        left, gaps = [], Counter()
+        for key, size in [*reversed(stack), *((key, -free) for free, key in rests)]:
+            left.append((GAP, key, size, 0, 0, part, gaps[size]))
+            gaps[size] += 1
+        yield pd.DataFrame(left, columns=[f.split()[0] for f in STATE.split(", ")])
 
     return run
 
@@ -86,51 +93,69 @@ def sweep(capacity: int):
 def across(left: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """Matches between ranges, from (range, waiting pieces, free gaps, largest of those pieces, least of those gaps).
 
-    Gives (piece range, first rank, gap range, first rank, pieces, pieces in each gap): waiting pieces take the gaps of the
-    nearest earlier range first, and as many go into one gap as fit whatever their sizes are.  There are at most twice as many
-    matches as ranges.
+    Gives (piece range, first rank, gap range, first rank, pieces, pieces in each gap): waiting pieces take the least of the
+    earlier gaps, and as many go into one gap as fit whatever their sizes are.  What they leave of it is a gap again, so a gap may
+    be in several matches; its pieces lie in it in the order of these.
     """
-    stack, out = [], []
+    stack, rests, out = [], [], []
+
+    def back(size):  # what is left of gaps comes again in its place
+        while rests and -rests[0][0] >= size:
+            free, source, taken, count = heapq.heappop(rests)
+            stack.append((source, taken, count, -free))
+
     for part, pieces, gaps, largest, least in sorted(left, key=lambda row: row[0]):
         at = 0
+        if pieces:
+            back(largest)
         while at < pieces and stack:
             source, taken, count, free = stack.pop()
             each = free // largest
             n = min(pieces - at, count * each)
             out.append((part, at, source, taken, n, each))
             at += n
-            if (used := -(-n // each)) < count:
+            full, more = divmod(n, each)
+            for used, first, held in ((full, taken, each), (min(more, 1), taken + full, more)):
+                if used and free > held * largest:
+                    heapq.heappush(rests, (held * largest - free, source, first, used))
+            if (used := full + min(more, 1)) < count:
                 stack.append((source, taken + used, count - used, free))
         if gaps:
+            back(least)
             stack.append((part, 0, gaps, least))
     return out
 
 
 def match(state: DataFrame, rows: int, capacity: int) -> DataFrame:
-    """One sweep over all gaps and pieces."""
+    """One sweep over all gaps and pieces, and the matches between its ranges."""
     parts = max(1, math.ceil(rows / SWEEP_ROWS))
     order = [F.col("size").desc(), F.col("kind").asc(), F.col("key").asc()]
     ranged = state.select("kind", "key", "size").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     swept = materialize(ranged.mapInPandas(sweep(capacity), STATE), "swept")
-    of = {kind: F.when(F.col("kind") == kind, F.col("size")) for kind in (PIECE, GAP)}
-    counts = swept.filter((F.col("kind") != PLACED) & (F.col("part") >= 0)).groupBy("part").agg(
-        F.count(of[PIECE]), F.count(of[GAP]), F.max(of[PIECE]), F.min(of[GAP])).collect()
-    matches = across([tuple(r) for r in counts])
+    # Of each range and size the pieces that wait and the gaps left, in the order of the sweep: at most a few rows a range and size.
+    left = swept.filter(F.col("kind") != PLACED).groupBy("size", "kind", "part").count().collect()
+    left = sorted(((size, kind, part, n) for size, kind, part, n in left), key=lambda r: (-r[0], *r[1:]))
+    matches = across([(i, n, 0, size, None) if kind == PIECE else (i, 0, n, None, size) for i, (size, kind, _, n) in enumerate(left)])
     if not matches:
         return swept
-    # Places of both sides in one numbering of the gaps matched: (range, rank) -> number.
-    spark, number, sides = state.sparkSession, 0, []
-    for piece_part, piece_rank, gap_part, gap_rank, n, each in matches:
-        used = -(-n // each)
-        sides += [(PIECE, piece_part, piece_rank, n, each, number), (GAP, gap_part, gap_rank, used, 1, number)]
-        number += used
-    sides = spark.createDataFrame(sides, "m_kind int, m_part int, m_rank bigint, m_n bigint, m_each bigint, m_number bigint")
-    here = ((F.col("kind") == F.col("m_kind")) & (F.col("part") == F.col("m_part")) & (F.col("rank") >= F.col("m_rank"))
-            & (F.col("rank") < F.col("m_rank") + F.col("m_n")))
-    marked = swept.join(sides, here, "left").withColumn("number", F.col("m_number") + F.expr("(rank - m_rank) div m_each"))
-    marked = marked.select(*[f.split()[0] for f in STATE.split(", ")], "number")
+    # Places of both sides in one numbering of the gaps matched: (range, size, rank) -> number.
+    spark, sides, used = state.sparkSession, [], {}
+    for _, _, gap, first, n, each in matches:
+        used[gap] = max(used.get(gap, 0), first - (-n // each))
+    number = dict(zip(used, accumulate(used.values(), initial=0)))
+    every = [(gap, 0, n, 1, number[gap], 0) for gap, n in used.items()]
+    every += [(piece, rank, n, each, number[gap] + first, turn) for turn, (piece, rank, gap, first, n, each) in enumerate(matches, 1)]
+    for i, rank, n, *more in every:
+        size, kind, part, _ = left[i]
+        sides += [(kind, part, size, block, rank, n, *more) for block in range(rank // RANKS, (rank + n - 1) // RANKS + 1)]
+    names = ["m_kind", "m_part", "m_size", "m_block", "m_rank", "m_n", "m_each", "m_number", "turn"]
+    sides = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*sides)], names))
+    here = ((F.col("kind") == F.col("m_kind")) & (F.col("part") == F.col("m_part")) & (F.col("size") == F.col("m_size"))
+            & (F.expr(f"rank div {RANKS}") == F.col("m_block")) & (F.col("rank") >= F.col("m_rank")) & (F.col("rank") < F.col("m_rank") + F.col("m_n")))
+    marked = swept.join(F.broadcast(sides), here, "left").withColumn("number", F.col("m_number") + F.expr("(rank - m_rank) div m_each"))
+    marked = marked.select(*[f.split()[0] for f in STATE.split(", ")], "number", "turn")
     # A gap and its pieces, no more of them than fit, the gap first.
-    order = Window.partitionBy("number").orderBy(F.col("kind") == PIECE, "rank")
+    order = Window.partitionBy("number").orderBy("turn", "rank")
     together = marked.filter(F.col("number").isNotNull()).withColumn(
         "free", F.sum(F.when(F.col("kind") == GAP, F.col("size")).otherwise(-F.col("size"))).over(order).cast("int")).withColumn(
         "sequence", F.first("key").over(order)).withColumn("last", F.lead("kind").over(order).isNull())
@@ -141,7 +166,7 @@ def match(state: DataFrame, rows: int, capacity: int) -> DataFrame:
                     F.lit(0).alias("offset"), F.lit(-1).alias("part"), zero.alias("rank"))
     both = F.array_compact(F.array(F.when(F.col("kind") == PIECE, piece), F.when(F.col("last") & (F.col("free") > 0), rest)))
     filled = together.select(F.explode(both).alias("r")).select(*[f"r.{c}" for c in columns])
-    return materialize(marked.filter(F.col("number").isNull()).drop("number").union(filled), "swept")
+    return materialize(marked.filter(F.col("number").isNull()).drop("number", "turn").union(filled), "swept")
 
 
 def opened(state: DataFrame, sizes: list[tuple[int, int, int]], capacity: int, turn: int) -> DataFrame | None:
@@ -181,7 +206,6 @@ def place(lengths: DataFrame, capacity: int) -> DataFrame:
             return done
         begun = opened(rows, sizes, capacity, turn)
         if begun is not None:
-            begun = materialize(begun, "opened")
             done = done.union(begun.filter(F.col("kind") == PLACED).select("key", "sequence_id", "offset"))
             rows = begun.filter(F.col("kind") != PLACED)
         # A gap below the shortest piece is full.
